@@ -5,6 +5,10 @@ from __future__ import annotations
 #: Words of a text; null has none.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: A-Z alone in lower case.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
@@ -17,5 +21,18 @@ l AS (SELECT doc_id, list(q) AS qs FROM r GROUP BY doc_id),
 x AS (SELECT n.doc_id, c, coalesce(len(qs), 0) AS gone, list_filter(ws, lambda v, i: NOT list_contains(coalesce(qs, []), i)) AS kept
       FROM n LEFT JOIN l USING (doc_id))
 SELECT doc_id, c AS n_words, gone AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM x
+""",
+    "op4_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
+b AS (SELECT item_id, ws, least(10, len(ws)) AS size FROM (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark) WHERE len(ws) > 0),
+t AS (SELECT item_id, size, array_to_string(ws[p:p + size - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS p FROM b)),
+z AS (SELECT DISTINCT size FROM t),
+g AS (SELECT doc_id, size, p, array_to_string(ws[p:p + size - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS p FROM d, z)),
+h AS (SELECT doc_id, item_id, size, p FROM g JOIN t USING (size, k)),
+q AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS w FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN i USING (doc_id)
 """,
 }
