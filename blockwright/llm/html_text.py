@@ -241,6 +241,8 @@ def render(root: Node, tables: int = 0) -> list[str]:
         top[1] += 1
         child = node.children[k]
         if isinstance(child, str):
+            if node.tag == "details" and "open" not in node.attributes:
+                continue
             if visible and node.tag not in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "select") or visible and child.strip():
                 page.text(child, pre)
             continue

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .best_fit import best_fit_pack
 from .decontaminate import decontaminate
 from .html_text import extract_text
+from .near_dedup import near_dedup
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_output import pack_tokens
 
@@ -40,10 +42,20 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_token_output": op5_token_output,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_near_dedup": op10_near_dedup,
 }
