@@ -13,6 +13,7 @@ from .html_text import extract_text
 from .near_dedup import near_dedup
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_output import pack_tokens
 
 
@@ -46,6 +47,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
@@ -57,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_token_output": op5_token_output,
     "op6_quality_rules": op6_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
 }

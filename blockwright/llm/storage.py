@@ -70,16 +70,17 @@ def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     small_arrow_batches(spark)
 
     def cut(batches):
-        part, total = TaskContext.get().partitionId(), 0
+        part, total, row = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             size = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) if pa.types.is_large_string(b.schema.field(1).type) else _lengths(b.column(1))
             before = total + np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0)
             total += int(size.sum())
             no = (before // batch_bytes).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((part << 32) + no), b.column(0), b.column(1)], ["batch", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array((part << 32) + no), pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(1)], ["batch", "seq", "doc_id", "text"])
+            row += b.num_rows
 
     seen = Observation()
-    cutted = clean(docs, id_col, text_col).observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).mapInArrow(cut, "batch long, doc_id long, text string")
+    cutted = clean(docs, id_col, text_col).observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).mapInArrow(cut, "batch long, seq long, doc_id long, text string")
     n, name = shuffle_partitions(spark), f"bw_stage_{uuid.uuid4().hex}"
     cutted.write.format("parquet").option("compression", "zstd").bucketBy(n, "batch").sortBy("batch").saveAsTable(name)
     _TABLES.append(name)
