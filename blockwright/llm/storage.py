@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,32 +66,51 @@ class Staged:
     name: str
 
 
-def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 20) -> Staged:
+def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 20, summary: Callable[[pa.Table], bytes] | None = None) -> Staged:
+    """summary: of (doc_id, text) rows of a whole batch, kept in column `extra` of its first row."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
+    schema = "batch long, seq long, doc_id long, text string" + ", extra binary" * bool(summary)
 
-    def cut(batches):
-        part, total, row = TaskContext.get().partitionId(), 0, 0
+    def whole(no: int, row: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        columns = [pa.array(np.full(len(t), no)), pa.array(np.arange(row, row + len(t))), *(t[k].combine_chunks() for k in ("doc_id", "text"))]
+        if summary:
+            columns.append(pa.array([summary(t)] + [None] * (len(t) - 1), pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, schema.replace(",", "").split()[::2])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, no, row, size, held = TaskContext.get().partitionId(), 0, 0, 0, []
         for b in batches:
-            size = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) if pa.types.is_large_string(b.schema.field(1).type) else _lengths(b.column(1))
-            before = total + np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0)
-            total += int(size.sum())
-            no = (before // batch_bytes).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((part << 32) + no), pa.array(np.arange(row, row + b.num_rows)), b.column(0), b.column(1)], ["batch", "seq", "doc_id", "text"])
-            row += b.num_rows
+            total, at = np.cumsum(_lengths(b.column(1))), 0
+            while at < b.num_rows:
+                done = int(total[at - 1]) if at else 0
+                to = int(np.searchsorted(total, done + batch_bytes - size)) + 1
+                piece = b.slice(at, to - at)
+                held.append(piece)
+                size += int(total[at + piece.num_rows - 1]) - done
+                at += piece.num_rows
+                if size >= batch_bytes:
+                    out = whole((part << 32) + no, row, held)
+                    yield out
+                    no, row, size, held = no + 1, row + out.num_rows, 0, []
+        if held:
+            yield whole((part << 32) + no, row, held)
 
     seen = Observation()
-    cutted = clean(docs, id_col, text_col).observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).mapInArrow(cut, "batch long, seq long, doc_id long, text string")
+    rows = clean(docs, id_col, text_col).observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).mapInArrow(cut, schema)
     n, name = shuffle_partitions(spark), f"bw_stage_{uuid.uuid4().hex}"
-    cutted.write.format("parquet").option("compression", "zstd").bucketBy(n, "batch").sortBy("batch").saveAsTable(name)
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(n, "batch").sortBy("batch").saveAsTable(name)
     _TABLES.append(name)
     n_bytes = int(seen.get["n"])
     return Staged(spark.table(name), n_bytes, max(3 * n, math.ceil(n_bytes / (256 << 20))), name)
 
 
 def _lengths(col) -> np.ndarray:
-    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
-    return np.diff(off).astype(np.int64)
+    if not len(col):
+        return np.zeros(0, np.int64)
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    return np.diff(np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1]).astype(np.int64)
 
 
 def drop_staged(spark: SparkSession) -> int:
