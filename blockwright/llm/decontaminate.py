@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import rolling as R
-from .storage import clean, materialise, small_arrow_batches
+from .storage import arrow_schema, clean, from_ipc, materialise, small_arrow_batches, to_ipc, with_text
 
 U = np.uint64
 INDEX_SQL = "shard long, payload binary"
@@ -46,8 +46,8 @@ def _terms(col) -> tuple[np.ndarray, np.ndarray]:
     return R.span_hashes(data, starts, ends), first
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 3 << 20) -> DataFrame:
-    """Store the postings of all training tokens; one row per shard of documents."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
+    """Store the postings of all training tokens; one row per shard of documents. carry: with the documents themselves."""
     small_arrow_batches(docs.sparkSession)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield _shard((part << 32) + no, pa.Table.from_batches(held))
 
-    return materialise(clean(docs, id_col, text_col).mapInArrow(shards, INDEX_SQL), "postings", "uncompressed")
+    return materialise(clean(docs, id_col, text_col, carry).mapInArrow(shards, INDEX_SQL + ", rows binary" * carry), "postings", "uncompressed")
 
 
 def _shard(no: int, t: pa.Table) -> pa.RecordBatch:
@@ -76,7 +76,8 @@ def _shard(no: int, t: pa.Table) -> pa.RecordBatch:
     ids, known = t["doc_id"].fill_null(0).to_numpy(), np.asarray(t["doc_id"].is_valid())
     # positions as differences from the one before; where a new list begins, the wrapped difference still adds up
     payload = X.pack(ids, known, np.diff(first).astype(np.uint32), X.differences(values[order][new]), np.diff(np.append(np.flatnonzero(new), len(order))).astype(np.uint32), np.diff(places.astype(np.uint32), prepend=np.uint32(0)))
-    return pa.RecordBatch.from_arrays([pa.array([no]), pa.array([payload], pa.binary())], ["shard", "payload"])
+    rows = [pa.array([to_ipc(t)], pa.binary())] if "row" in t.column_names else []
+    return pa.RecordBatch.from_arrays([pa.array([no]), pa.array([payload], pa.binary()), *rows], ["shard", "payload", "rows"][: 2 + len(rows)])
 
 
 class _Postings:
@@ -258,6 +259,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return found.mapInArrow(report, REPORT_SQL)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The input rows that hold no window of any item."""
+    schema = arrow_schema(docs)
+    left = build_index(docs, id_col, text_col, carry=True).select("payload", "rows", F.lit(None).cast("binary").alias("hit"))
+    for tests in _blocks(items, item_col, item_text, window, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(tests)
+
+        def mark(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits = []
+                for payload, before in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    p = _Postings(payload)
+                    hit = np.zeros(len(p.ids), bool) if before is None else X.unpack(before)[0]
+                    for size, windows, _ in shared.value.groups:
+                        hit[np.searchsorted(p.first, p.phrases(windows)[1], side="right") - 1] = True
+                    hits.append(X.pack(hit))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.binary())], ["payload", "rows", "hit"])
+
+        left = left.mapInArrow(mark, "payload binary, rows binary, hit binary")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = from_ipc(rows)
+                yield from with_text(t, t["text"].combine_chunks(), text_col, schema).filter(pa.array(~X.unpack(hit)[0])).to_batches()
+
+    return left.select("rows", "hit").mapInArrow(kept, docs.schema)
+
+
 def matches(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = 10, slop: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
     """All phrase matches, and with slop also proximity matches: all terms of a window, in any order, within its length plus slop words."""
     out = None

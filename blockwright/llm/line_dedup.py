@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import rolling as R
-from .storage import materialise, stage
+from .storage import arrow_schema, from_ipc, materialise, stage, with_text
 from .substring_dedup import LAST, SENT_SQL, SENT, _answer, _gathered
 
 U = np.uint64
@@ -129,14 +129,17 @@ def _need(a: np.ndarray, b: np.ndarray, up: int, down: int) -> np.ndarray:
     return -(-(up * (a + b)) // (up + down))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 16, block_lines: int = 20_000, batch_bytes: int = 3 << 20) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 16, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
     """Remove each line that a line before it, in (doc_id, line) order, matches at Jaccard >= threshold of word sets.
 
-    Matches are judged on the input. Returns doc_id, n_lines, n_removed, kept_text and removed_lines.
+    Matches are judged on the input. Returns doc_id, n_lines, n_removed, kept_text and removed_lines;
+    with carry instead the input rows, their texts without the removed lines, but for documents all of
+    whose lines with words went.
     """
     up, down = threshold
     spark = docs.sparkSession
-    staged = stage(docs, id_col, text_col, batch_bytes, _summary)
+    staged = stage(docs, id_col, text_col, batch_bytes, _summary, carry)
+    schema = arrow_schema(docs) if carry else OUT
     n, table = staged.n_shards, staged.table
 
     def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +317,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def remove(a: pa.Table, t: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return OUT.empty_table()
+            return schema.empty_table()
         t = t.sort_by("seq")
         _, _, first, of, doc, number = summary_of(t)
         kind = np.asarray(a["kind"])
@@ -327,9 +330,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         removed[same] = (doc[same] != doc[first[of[same]]]) | (number[same] != number[first[of[same]]]) | ~np.isin(first[of[same]], head)
         for own in a.filter(pa.array(kind == 1))["lines"].to_pylist():
             removed[np.array(own, np.int64)] = True
-        return _without(t, lines, removed)
-
-    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(remove, OUT_SQL)
+        out = _without(t, lines, removed)
+        if not carry:
+            return out
+        lost = np.bincount(lines.doc[removed], minlength=len(t))
+        left = np.bincount(lines.doc[(of >= 0) & ~removed], minlength=len(t))
+        carried = from_ipc(next(x for x in t["carried"].to_pylist() if x is not None))
+        return with_text(carried, out["kept_text"].combine_chunks(), text_col, schema).filter(pa.array((left > 0) | (lost == 0)))
+
+    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(remove, docs.schema if carry else OUT_SQL)
 
 
 def _without(t: pa.Table, lines: Lines, removed: np.ndarray) -> pa.Table:

@@ -13,6 +13,7 @@ from .html_text import extract_text
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality_rules import quality_rules
+from .secret_scan import scan_secrets
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_output import pack_tokens
@@ -58,6 +59,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents")).drop("candidate", "around", "path")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_near_dedup": op10_near_dedup,
 }

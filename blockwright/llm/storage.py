@@ -47,9 +47,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def clean(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id long, text string) only, so clashing names of extra columns can't matter; null text is ''."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def clean(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(doc_id long, text string) and nothing else, so clashing names of extra columns can't matter; null text is ''.
+
+    carry: and the whole input row but its text, as struct `row`.
+    """
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+    return docs.select(*own, *([F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.lit(True).alias("_")).alias("row")] if carry else []))
+
+
+def to_ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(value: bytes) -> pa.Table:
+    return pa.ipc.open_stream(value).read_all()
+
+
+def with_text(carried: pa.Table, text: pa.Array, text_col: str, schema: pa.Schema) -> pa.Table:
+    """The carried rows with a text column again, in the order of the schema."""
+    rows = carried["row"].combine_chunks()
+    return pa.Table.from_arrays([text if f.name == text_col else rows.field(f.name) for f in schema], schema=schema)
+
+
+def arrow_schema(df: DataFrame) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.schema)
 
 
 @dataclass(frozen=True)
@@ -66,17 +93,22 @@ class Staged:
     name: str
 
 
-def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 20, summary: Callable[[pa.Table], bytes] | None = None) -> Staged:
-    """summary: of (doc_id, text) rows of a whole batch, kept in column `extra` of its first row."""
+def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 20, summary: Callable[[pa.Table], bytes] | None = None, carry: bool = False) -> Staged:
+    """summary: of (doc_id, text) rows of a whole batch, kept in column `extra` of its first row.
+
+    carry: the first row of a batch also holds all other input columns of the batch, in `carried`.
+    """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    schema = "batch long, seq long, doc_id long, text string" + ", extra binary" * bool(summary)
+    schema = "batch long, seq long, doc_id long, text string" + ", extra binary" * bool(summary) + ", carried binary" * carry
 
     def whole(no: int, row: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         columns = [pa.array(np.full(len(t), no)), pa.array(np.arange(row, row + len(t))), *(t[k].combine_chunks() for k in ("doc_id", "text"))]
         if summary:
-            columns.append(pa.array([summary(t)] + [None] * (len(t) - 1), pa.binary()))
+            columns.append(pa.array([summary(t.select(["doc_id", "text"]))] + [None] * (len(t) - 1), pa.binary()))
+        if carry:
+            columns.append(pa.array([to_ipc(t.drop_columns(["doc_id", "text"]))] + [None] * (len(t) - 1), pa.binary()))
         return pa.RecordBatch.from_arrays(columns, schema.replace(",", "").split()[::2])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +130,7 @@ def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
             yield whole((part << 32) + no, row, held)
 
     seen = Observation()
-    rows = clean(docs, id_col, text_col).observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).mapInArrow(cut, schema)
+    rows = clean(docs, id_col, text_col, carry).observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).mapInArrow(cut, schema)
     n, name = shuffle_partitions(spark), f"bw_stage_{uuid.uuid4().hex}"
     rows.write.format("parquet").option("compression", "zstd").bucketBy(n, "batch").sortBy("batch").saveAsTable(name)
     _TABLES.append(name)
