@@ -25,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .storage import clean, materialise, small_arrow_batches
+from .storage import clean, materialise, shuffle_partitions, small_arrow_batches
 
 U = np.uint64
 BITS = 22
 COORDINATES = 252
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-SIGNED_SQL = "doc_id long, n_shingles long, class_id long, bands array<long>"
+CELLS = 256
+#: Sets beyond this size aren't pruned by sketch, whose counts end at 255.
+SKETCHED = 20_000
+CHUNK = 1024
+SIGNED_SQL = "doc_id long, n_shingles long, class_id long, bands array<long>, sketch binary"
 
 
 def shingle_sets(col, k: int) -> list[np.ndarray]:
@@ -89,19 +93,25 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return R.mix(h).astype(np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of CELLS cells; the sum of two sets' lesser counts bounds their overlap."""
+    return np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def _sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets, known = shingle_sets(b.column(1), k), {}
-            names, bands = [], []
+            names, bands, sketches = [], [], []
             for s in sets:
                 name = class_of(s) if len(s) else None
                 if name is not None and name not in known:
                     known[name] = len(known)
                     bands.append(signature(s))
+                    sketches.append(sketch(s))
                 names.append(name)
             keys = band_keys(np.array(bands), rows).tolist() if bands else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([None if n is None else keys[known[n]] for n in names], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class_id", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([None if n is None else keys[known[n]] for n in names], pa.list_(pa.int64())), pa.array([None if n is None else sketches[known[n]] for n in names], pa.binary())], ["doc_id", "n_shingles", "class_id", "bands", "sketch"])
 
     return docs.mapInArrow(sign, SIGNED_SQL)
 
@@ -129,8 +139,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int,
     return both.mapInArrow(verify, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of linked nodes by alternating large-star and small-star steps; roots are least nodes."""
+def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of edges, by least labels and pointer jumping; a root is its component's least node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (label[a], label[b]):
+            np.minimum.at(new, side, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def components(links: DataFrame, in_task: int = 2_000_000) -> DataFrame:
+    """(node, root) of linked nodes; roots are least nodes.
+
+    Up to `in_task` links are joined in one task, which that number bounds. More go through alternating
+    large-star and small-star steps.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            nodes, roots = connected(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+    if links.count() <= in_task:
+        return links.select("a", "b").coalesce(1).mapInArrow(local, "node long, root long")
+    return stars(links)
+
+
+def stars(links: DataFrame) -> DataFrame:
     edges, before = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges"), None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -146,17 +189,64 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), centres: int = 2, at_once: int = 20) -> DataFrame:
+def _close_pairs(state: DataFrame, centres: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of a centre and a member of its bucket, in other components, whose sketches allow the threshold.
+
+    A bucket is cut into chunks of about CHUNK members and its centres go to each chunk, so no task gets a
+    whole hot bucket; a chunk's pairs are looked at in arrays and only those that the bound leaves come out.
+    """
+    up, down = threshold
+    n = shuffle_partitions(state.sparkSession)
+    chunks = F.ceil(F.col("m") / CHUNK)
+    member = state.select("key", F.pmod(F.xxhash64("class_id", "key"), chunks).alias("chunk"), F.lit(0).alias("centre"), "class_id", "root", "n")
+    centre = centres.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("centre"), "class_id", "root", "n")
+    rows = member.unionAll(centre).join(sketches, "class_id").select("key", "chunk", "centre", "class_id", "root", "n", "sketch")
+
+    def compare(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind = held["centre"].to_numpy()
+        name, root, size = (held[c].to_numpy() for c in ("class_id", "root", "n"))
+        cells = np.frombuffer(b"".join(held["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        members = np.flatnonzero(kind == 0)
+        out = []
+        for c in np.flatnonzero(kind == 1):
+            m = members[root[members] != root[c]]
+            m = m[np.minimum(size[m], size[c]) * down >= np.maximum(size[m], size[c]) * up]
+            most = np.minimum(cells[m], cells[c]).sum(1, dtype=np.int64)
+            m = m[(down * most >= up * (size[m] + size[c] - most)) | (np.maximum(size[m], size[c]) > SKETCHED)]
+            out.append(np.stack([np.minimum(name[m], name[c]), np.maximum(name[m], name[c])]))
+        if out and sum(o.shape[1] for o in out):
+            a, b = np.concatenate(out, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            key, chunk = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y == x:
+                    continue
+                if rest and (rest[-1].column(0)[0].as_py(), rest[-1].column(1)[0].as_py()) != (int(key[x]), int(chunk[x])):
+                    yield from compare(pa.Table.from_batches(rest))
+                    rest = []
+                rest.append(b.slice(x, y - x))
+        if rest:
+            yield from compare(pa.Table.from_batches(rest))
+
+    return rows.repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(walk, "a long, b long").distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), centres: int = 2, enough: float = 0.7) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document row; threshold is a fraction.
 
-    When the pairs left to compare number under `at_once` for each class, they are compared in one
-    round; before that a round takes up to `centres` members of each bucket.
+    A round takes up to `centres` members of each bucket. When a round leaves more than `enough` of the
+    members outside their bucket's main component there, the last round takes all of those as centres.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark, 256)
     source, rows = clean(docs, id_col, text_col), band_rows(threshold[0] / threshold[1])
     signed = materialise(_sign(source, shingle, rows), "signatures")
-    classes = materialise(signed.filter("class_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = materialise(signed.filter("class_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     entries = classes.select("class_id", "rep", "n", F.explode("bands").alias("key"))
     full = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = materialise(entries.join(full.select("key"), "key"), "members")
@@ -168,32 +258,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column(0)], ["class_id", "text"])
 
     texts = materialise(source.join(involved, source.doc_id == involved.rep, "left_semi").select("text").mapInArrow(named, "class_id long, text string"), "texts")
-    n_classes, rooted, links, tested, done = classes.count(), None, None, None, None
+    sketches = classes.select("class_id", "sketch")
+    rooted, links, tested, done, outside_before = None, None, None, None, None
     left, turn = members.select("key", "class_id", "n"), 0
     while True:
-        state = left.withColumn("root", F.col("class_id")) if rooted is None else left.join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        split = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo != hi").select("key", "m")
-        state = materialise(state.join(split, "key"), "state")
-        sizes = state.groupBy("key", "root").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-        outside = state.join(main, "key").filter("root != main")
-        if done is not None:
-            outside = outside.join(done, ["key", "class_id"], "left_anti")
-        outside = materialise(outside, "outside")
-        cost = outside.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("c")).first()["c"]
-        if not cost:
-            break
-        last = cost <= at_once * n_classes
+        last = False
+        if rooted is None:
+            # all components still are single documents; the same order in all buckets, so a group meets around few centres
+            state = left.withColumn("root", F.col("class_id"))
+            chosen = state.join(_least(state, F.xxhash64("class_id"), 1), ["key", "class_id"], "left_semi")
+        else:
+            state = left.join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+            sizes = state.groupBy("key", "root").agg(F.count("*").alias("c"))
+            split = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main", "m")
+            state = materialise(state.join(split, "key"), "state")
+            outside = materialise(state.filter("root != main").join(done, ["key", "class_id"], "left_anti"), "outside")
+            now = outside.count()
+            if not now:
+                break
+            last = outside_before is not None and now > enough * outside_before
+            outside_before = now
+            chosen = outside if last else outside.join(_least(outside, F.xxhash64("class_id", "key", F.lit(turn)), centres), ["key", "class_id"], "left_semi")
         if last:
-            chosen = outside
+            pairs = _close_pairs(state, chosen, sketches, threshold)
         else:
-            # the first round's order is the same in all buckets, so a group meets around few centres; later ones differ by bucket
-            order = F.xxhash64("class_id") if turn == 0 else F.xxhash64("class_id", "key", F.lit(turn))
-            few = _least(outside, order, centres if turn else 1)
-            chosen = outside.join(few, ["key", "class_id"], "left_semi")
-        chosen = materialise(chosen.select("key", F.col("class_id").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n")), "centres")
-        pairs = chosen.join(state, "key").filter((F.col("root") != F.col("c_root")) & (F.least("n", "c_n") * threshold[1] >= F.greatest("n", "c_n") * threshold[0]))
-        pairs = pairs.select(F.least("c", "class_id").alias("a"), F.greatest("c", "class_id").alias("b")).distinct()
+            chosen = materialise(chosen.select("key", F.col("class_id").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n")), "centres")
+            pairs = chosen.join(state, "key").filter((F.col("root") != F.col("c_root")) & (F.least("n", "c_n") * threshold[1] >= F.greatest("n", "c_n") * threshold[0]))
+            pairs = pairs.select(F.least("c", "class_id").alias("a"), F.greatest("c", "class_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
