@@ -83,8 +83,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         encode, part, seen, end = encoder(tokenizer).encode, TaskContext.get().partitionId(), defaultdict(int), end_id.to_bytes(4, "little")
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc, own_ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                ids = own_ids + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     n = len(own) // 4
@@ -107,7 +107,7 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     planned = plan(counts, capacity)
     columns = list(zip(*planned, strict=True)) if planned else [[]] * 6
     runs = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in RUNS_SQL.split(", ")]))
-    ranked = rows.join(based.drop("n"), ["part", "length"]).withColumn("rank", F.col("place") + F.col("base"))
+    ranked = rows.join(based.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("place") + F.col("base"))
     at = F.col("rank") - F.col("rank_from")
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("n_items")))
     return placed.select(

@@ -88,8 +88,8 @@ def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held: list[tuple[int | None, int, int, np.ndarray]] = []
         row = 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text) + end, "<u4").astype(id_dtype)
+            for doc, own in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(own + end, "<u4").astype(id_dtype)
                 held += [(doc, row, k, ids[at : at + capacity]) for k, at in enumerate(range(0, len(ids), capacity))]
                 row += 1
                 if len(held) >= block_pieces:

@@ -1,19 +1,27 @@
 """Token ids through a word cache.
 
-The tokenizer splits at white space before it merges, so a text's ids are the ids of its
-white-space-delimited chunks in order. Chunks recur far more often than texts; each worker keeps
-a bounded cache of them. A text with white space on which Python and the tokenizer could differ is
-encoded whole.
+The tokenizer lower-cases, and splits at white space and between letters and other signs, before it
+merges. So a text's ids are the ids of its chunks in order, and a full stop or comma behind a word is a
+chunk of its own. Chunks recur far more often than texts; each worker keeps a bounded cache of them. A
+text with white space on which Python and the tokenizer could differ is encoded whole, and one with
+letters outside the Latin blocks keeps its case until the tokenizer sees it.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: White space outside space, tab, CR and LF, and the separators that only Python calls white space.
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Letters whose lower case could depend on their neighbours or be more than one sign.
+_FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]")
+#: A full stop or comma between a letter and white space.
+_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \t\r\n]|\Z)")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -23,6 +31,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class Encoder(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes; cleared when it holds `limit` chunks."""
 
@@ -31,30 +49,41 @@ class Encoder(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and (low := chunk.lower()) != chunk:
-            out = self[low]
-        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
-            out = self[chunk[:-1]] + self[chunk[-1]]
-        else:
-            out = self.whole(chunk)
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = out
-        return out
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-def encoder(path: str | None = None, limit: int = 400_000) -> Encoder:
+        return self.whole(chunk)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Cache the ids of chunks. Words of letters alone go straight to the merges, others through the whole tokenizer."""
+        if len(self) + len(chunks) > self.limit:
+            self.clear()
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for chunk in chunks:
+            if chunk.isalpha() and chunk.islower() and len(chunk) <= 64:
+                if chunk.isascii():
+                    self[chunk] = np.array([t.id for t in tokenize(chunk)], "<u4").tobytes()
+                    continue
+                if unicodedata.is_normalized("NFC", chunk) and not _FOREIGN.search(chunk):
+                    self[chunk] = np.array([t.id for t in tokenize(chunk.encode().decode("latin-1").translate(_BYTE_SIGNS))], "<u4").tobytes()
+                    continue
+            if len(chunk) <= 64:
+                other.append(chunk)
+        for chunk, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self[chunk] = np.array(found.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 256):
+            own = [t or "" for t in texts[at : at + 256]]
+            cut = [None if _ODD.search(t) else _STOP.sub(r" \1", t if _FOREIGN.search(t) or "<|" in t else t.lower()).split() for t in own]
+            new = set().union(*[c for c in cut if c]) - self.keys()
+            if new:
+                self.learn(new)
+            for text, chunks in zip(own, cut, strict=True):
+                yield self.whole(text) if chunks is None else b"".join(map(self.__getitem__, chunks))
+
+
+def encoder(path: str | None = None, limit: int = 700_000) -> Encoder:
     """This process's encoder for a tokenizer file."""
     key = (path or default_path(), limit)
     if key not in _ENCODERS:
