@@ -268,3 +268,5 @@ mt AS (SELECT {_x(_METRICS, 1)} epoch, {_PHASE.format(x=f"regexp_extract(line, '
 SELECT epoch, phase, CAST(0 AS INT) AS section, batch, 'ROW' AS label, {r6('R', 'value')} FROM mt
 UNION ALL SELECT lp.epoch, lp.phase, CAST(1 AS INT), lp.batch, concat('PROG ', label), {r6('CAST(pct AS DOUBLE)', 'value')} FROM lp SEMI JOIN mt ON lp.epoch = mt.epoch AND lp.phase = mt.phase AND lp.batch = mt.batch WHERE o = 1
 UNION ALL SELECT epoch, phase, CAST(2 AS INT), CAST(NULL AS INT), 'TOTAL', {r6('coalesce(avg(R), 0)', 'value')} FROM mt GROUP BY epoch, phase"""
+SQL["q_split_reward"] = f"""WITH {VPIX}, l AS (SELECT DISTINCT image_id, {LEAF} leaf_no FROM vpix)
+SELECT image_id, leaf_no, CAST(1 AS INT) AS split, {r6('1.0/64', 'bpp')}, CAST(120 AS DOUBLE) AS psnr, {r6('-1.0/64', 'reward')} FROM l"""

@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwright.functions import bytes as B
+from blockwright.functions import blockmath as M
 from blockwright.functions import scalars as S
 from blockwright.operators import candidates as C
+from blockwright.operators import codec as CO
+from blockwright.operators import environment as E
 from blockwright.operators import features as FE
+from blockwright.operators import metrics as ME
 from blockwright.operators import pixels as P
 from blockwright.operators import rdcurve as RD
 from blockwright.operators import residual as R
 from blockwright.operators import rollout as RO
 from blockwright.operators import tiling as T
 from blockwright.operators import trainlog as L
+from blockwright.sources import container as CT
 from blockwright.plans.fixtures import rdpts, table, tlog, vpix
 
 BLOCK = 8
@@ -288,4 +293,68 @@ def q_image_batches(spark, sf):
     return RO.batches(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 16)
 
 
+def _ycc_pixels(spark, sf):
+    """Offset-chroma pixels in the long layout, by leaf."""
+    p = P.ycc_planes(vpix(spark, sf))
+    each = F.array(*[F.struct(F.lit(k).alias("c"), F.col(n).cast("float").alias("v")) for k, n in enumerate(("luma", "cb", "cr"))])
+    return _leaf(p.select("image_id", "y", "x", F.inline(each)))
+
+
+def q_ssim(spark, sf):
+    return _rounded(ME.quality(P.coarse(vpix(spark, sf), 32)).select("image_id", "psnr", "ssim"), "psnr", "ssim")
+
+
+def q_ms_ssim(spark, sf):
+    return _rounded(ME.quality(P.coarse(vpix(spark, sf), 32)).select("image_id", "ms_ssim"), "ms_ssim")
+
+
+def q_gmsd(spark, sf):
+    return ME.quality(P.coarse(vpix(spark, sf), 32)).select("image_id", F.round(F.col("gmsd") * 1e6, 4).alias("gmsd_ppm"))
+
+
+def q_crc32(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"))
+
+
+def q_zlib_gain(spark, sf):
+    import pyarrow as pa
+
+    def gain(batches):
+        for b in batches:
+            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
+            found = [M.deflate(r) for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw]), pa.array([c for c, _ in found], pa.int32()), pa.array([len(p) for _, p in found])], ["doc_id", "raw_len", "comp_id", "stored_len"])
+
+    return table(spark, sf, "documents").select("doc_id", "text").mapInArrow(gain, "doc_id long, raw_len long, comp_id int, stored_len long")
+
+
+def q_encode_records(spark, sf):
+    r = CO.encode(CO.to_blocks(_ycc_pixels(spark, sf)))
+    return r.select("image_id", "leaf_no", "q", "k", "h_bits", "refine_flag", "comp_id", F.length("record").alias("n_bytes"), r6("bpp"), F.round("mse", 9).alias("mse"))
+
+
+def q_container_roundtrip(spark, sf):
+    blocks = CO.to_blocks(_ycc_pixels(spark, sf))
+    files = CO.containers(CO.encode(blocks, CO.CodecConfig(chunk=5)), CO.CodecConfig(chunk=5))
+    back = CO.to_pixels(CO.decode(CT.read_containers(files.withColumn("image_id", F.col("image_id").cast("string")), "image_id"), "name").withColumn("image_id", F.col("name").cast("int")))
+    truth = CO.to_pixels(blocks).withColumnRenamed("v", "t")
+    both = truth.join(back, ["image_id", "leaf", "y", "x", "c"])
+    return both.groupBy("image_id").agg(F.count("*").alias("n"), F.round(P.error(F.col("v"), F.col("t")), 9).alias("mse"))
+
+
+def q_reward(spark, sf):
+    s = E.steps(CO.to_blocks(_ycc_pixels(spark, sf)), [(12, 5, 8), (24, 3, 0)], E.RewardConfig(min_psnr_db=40.0))
+    return s.select("image_id", "leaf_no", "q", "k", "h_bits", r6("bpp"), r6("psnr"), r6("msssim"), r6("reward"))
+
+
+def q_split_reward(spark, sf):
+    return _rounded(E.split_steps(CO.to_blocks(_ycc_pixels(spark, sf)).select("image_id", "leaf_no", "w", "h")), "bpp", "reward", "score").select("image_id", "leaf_no", "split", "bpp", "psnr", "reward")
+
+
+def q_rd_grid_best(spark, sf):
+    grid = [(q, k, h) for q in M.Q_BINS[::4] for k in (1, 6) for h in M.H_BINS]
+    s = E.steps(CO.to_blocks(_ycc_pixels(spark, sf)), grid, E.RewardConfig(min_psnr_db=38.0))
+    return _rounded(E.best_actions(s), "bpp", "psnr", "msssim", "reward")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
