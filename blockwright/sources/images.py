@@ -93,7 +93,7 @@ def log_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """lines(file, file_no, line_no, line) of text logs, numbered in order; a log file is read as one value."""
     parts = None
     for n, p in enumerate(paths):
-        whole = spark.read.option("wholetext", True).text(p).select(F.lit(n).alias("file_no"), F.element_at(F.split(F.lit(p), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+        whole = spark.read.text(p, wholetext=True).select(F.lit(n).alias("file_no"), F.element_at(F.split(F.lit(p), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
         one = whole.select("file", "file_no", F.col("line_no").cast("long").alias("line_no"), "line")
         parts = one if parts is None else parts.unionAll(one)
     return parts
