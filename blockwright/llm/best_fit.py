@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import clean, materialise, small_arrow_batches
+from .storage import clean, materialise, release, small_arrow_batches
 from .tokens import encoder
 
 PIECES_SQL = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, place long"
@@ -80,18 +80,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     small_arrow_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen, end = encoder(tokenizer).encode, TaskContext.get().partitionId(), defaultdict(int), end_id.to_bytes(4, "little")
+        own, part, seen, end = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int), end_id.to_bytes(4, "little")
         for b in batches:
             rows = []
-            for doc, own_ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                ids = own_ids + end
+            for doc, ids_of in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist()), strict=True):
+                ids = ids_of + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((part, doc, k, at // 4, n, zlib.crc32(own), seen[n]))
+                    piece = ids[at : at + 4 * capacity]
+                    n = len(piece) // 4
+                    rows.append((part, doc, k, at // 4, n, zlib.crc32(piece), seen[n]))
                     seen[n] += 1
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["part", "doc_id", "piece", "start", "length", "ids_crc32", "place"])
+        own.rest()
+        release()
 
     return clean(docs, id_col, text_col).mapInArrow(cut, PIECES_SQL)
 

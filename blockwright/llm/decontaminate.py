@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import rolling as R
-from .storage import arrow_schema, clean, from_ipc, materialise, small_arrow_batches, to_ipc, with_text
+from .storage import arrow_schema, clean, from_ipc, materialise, release, small_arrow_batches, to_ipc, with_text
 
 U = np.uint64
 INDEX_SQL = "shard long, payload binary"
@@ -62,6 +62,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     no, held, size = no + 1, [], 0
         if held:
             yield _shard((part << 32) + no, pa.Table.from_batches(held))
+        held = []
+        release()
 
     return materialise(clean(docs, id_col, text_col, carry).mapInArrow(shards, INDEX_SQL + ", rows binary" * carry), "postings", "uncompressed")
 

@@ -11,7 +11,7 @@ candidates is similar, and that had more, is compared with all lines: such class
 met in blocks of bounded size. So nothing is lost to the bound on candidates.
 
 Rarity is the count of all documents' words in a table of fixed size (its slots shared by words of
-equal hash), so the order is the same everywhere and the table that each task gets doesn't grow.
+equal hash), so the order is the same everywhere and the table that each task gets doesn't grow (one byte for each of 2**20 slots).
 
 Defined cases: lines without words are kept and never matched; a null or empty text is kept as it is;
 a document whose every line with words is removed has an empty kept text if nothing else is left;
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import rolling as R
-from .storage import arrow_schema, from_ipc, materialise, stage, with_text
+from .storage import arrow_schema, from_ipc, materialise, releasing, stage, with_text
 from .substring_dedup import LAST, SENT_SQL, SENT, _answer, _gathered
 
 U = np.uint64
-SLOTS = 22
+SLOTS = 20
 SLOT_RANGES = 64
 OUT_SQL = "doc_id long, n_lines long, n_removed long, kept_text string, removed_lines array<int>"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed_lines", pa.list_(pa.int32()))])
@@ -49,13 +49,15 @@ def _ids(t: pa.Table) -> np.ndarray:
     return np.array([LAST if x is None else x for x in t["doc_id"].to_pylist()], np.int64)
 
 
+FOUND = pa.schema([("x_batch", pa.int64()), ("x_line", pa.int32()), ("doc_id", pa.int64()), ("number", pa.int32())])
+
+
 class Lines:
     """Lines of a batch: byte ranges, documents, and the distinct words of each, sorted by word hash."""
 
-    def __init__(self, t: pa.Table, word_sets: bool = True):
+    def __init__(self, t: pa.Table, word_sets: bool = True, table: bool = True):
         self.data, self.off = R.column_bytes(t["text"])
         breaks = np.flatnonzero(self.data == 10)
-        edges = np.sort(np.concatenate([breaks, self.off[1:] - 0]))  # a document ends its last line; breaks sort before it
         # the k-th line of a document runs from behind the edge before it
         doc_of_break = np.searchsorted(self.off, breaks, side="right") - 1
         lines_per_doc = np.bincount(doc_of_break, minlength=len(self.off) - 1) + 1 if len(self.off) > 1 else np.zeros(0, np.int64)
@@ -68,7 +70,6 @@ class Lines:
         inner[self.first[1:] - 1] = False
         self.end[inner] = breaks
         self.begin[np.flatnonzero(inner) + 1] = breaks + 1
-        del edges
         self.doc = np.repeat(np.arange(len(self.off) - 1), lines_per_doc)
         self.number = np.arange(n) - np.repeat(self.first[:-1], lines_per_doc)
         if word_sets:
@@ -77,7 +78,8 @@ class Lines:
             self.words = R.span_hashes(low, starts, ends)
             self.line = np.searchsorted(self.begin, starts, side="right") - 1
             # empty lines share their begin with the next line: the last line that begins there holds the word
-            self.distinct()
+            if table:
+                self.distinct()
 
     def distinct(self) -> None:
         self.table, which = np.unique(self.words, return_inverse=True)
@@ -87,13 +89,21 @@ class Lines:
         self.cuts = np.searchsorted(self.line, np.arange(len(self.begin) + 1))
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the word set of each line; 0 for a line without words."""
-        a, b = R.mix(self.table), R.mix(self.table ^ U(0x5555555555555555))
+        """Two hashes of the word set of each line; 0 for a line without words. Words of a line are told apart by 42 bits."""
+        n = len(self.begin)
+        if n >= 1 << 22:
+            self.distinct()
+            line, word = self.line, self.table[self.which]
+        else:
+            key = np.sort((self.line.astype(U) << U(42)) | (self.words >> U(22)))
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+            line, word = (key >> U(42)).astype(np.int64), key << U(22)
+        cuts = np.searchsorted(line, np.arange(n + 1))
+        size = np.diff(cuts)
         out = []
-        for h in (a, b):
-            total = np.concatenate([[U(0)], np.cumsum(h[self.which], dtype=U)])
-            size = np.diff(self.cuts)
-            x = R.mix(total[self.cuts[1:]] - total[self.cuts[:-1]] + size.astype(U)) | U(1)
+        for h in (R.mix(word), R.mix(word ^ U(0x5555555555555555))):
+            total = np.concatenate([[U(0)], np.cumsum(h, dtype=U)])
+            x = R.mix(total[cuts[1:]] - total[cuts[:-1]] + size.astype(U)) | U(1)
             out.append(np.where(size > 0, x, U(0)))
         return out[0], out[1] >> U(32)
 
@@ -102,11 +112,30 @@ def _slots(words: np.ndarray) -> np.ndarray:
     return (words >> U(64 - SLOTS)).astype(np.int64)
 
 
+def _by_rarity(line: np.ndarray, words: np.ndarray, levels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, word) of the distinct words of each line, rarest first, ties by hash; by one sort of 64-bit keys where 34 bits of hash tell a line's words apart."""
+    level = levels[_slots(words)].astype(U)
+    if n < 1 << 22:
+        key = (line.astype(U) << U(42)) | (level << U(34)) | (words >> U(30))
+        order = np.argsort(key)
+        key, line, words = key[order], line[order], words[order]
+        same = key[1:] == key[:-1]
+        if (words[1:][same] == words[:-1][same]).all():
+            new = np.concatenate([[True], ~same])[: len(line)]
+            return line[new], words[new]
+        level = levels[_slots(words)].astype(U)
+    order = np.lexsort((words, level, line))
+    line, words = line[order], words[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
+    return line[new], words[new]
+
+
 def _summary(t: pa.Table) -> bytes:
     """Classes of the lines, and counts of the words by slot."""
-    lines = Lines(t)
+    lines = Lines(t, table=False)
     c1, c2 = lines.classes()
-    slots, counts = np.unique(_slots(lines.words), return_counts=True)
+    slots, counts = np.unique((lines.words >> U(64 - SLOTS)).astype(np.uint32), return_counts=True)
     return X.pack(c1, c2.astype(np.uint32), np.diff(lines.first).astype(np.uint32), X.differences(slots.astype(U)).astype(np.uint32), counts.astype(np.uint32))
 
 
@@ -129,7 +158,7 @@ def _need(a: np.ndarray, b: np.ndarray, up: int, down: int) -> np.ndarray:
     return -(-(up * (a + b)) // (up + down))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 16, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 64, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
     """Remove each line that a line before it, in (doc_id, line) order, matches at Jaccard >= threshold of word sets.
 
     Matches are judged on the input. Returns doc_id, n_lines, n_removed, kept_text and removed_lines;
@@ -149,17 +178,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 *_, deltas, counts = X.unpack(extra)
                 total[np.cumsum(deltas, dtype=np.int64)] += counts
         width = (1 << SLOTS) // SLOT_RANGES
-        held = [(r, X.pack(total[r * width : (r + 1) * width])) for r in range(SLOT_RANGES)] if total.any() else []
+        held = [(r, X.pack(total.astype(np.uint32)[r * width : (r + 1) * width])) for r in range(SLOT_RANGES)] if total.any() else []
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in held], pa.int32()), pa.array([p for _, p in held], pa.binary())], ["range", "payload"])
 
     def summed(t: pa.Table) -> pa.Table:
-        total = sum(X.unpack(p)[0] for p in t["payload"].to_pylist())
+        total = sum(X.unpack(p)[0].astype(np.int64) for p in t["payload"].to_pylist())
         level = np.minimum(255, np.floor(8 * np.log2(total + 1))).astype(np.uint8)
         return pa.table({"range": pa.array([t["range"][0].as_py()], pa.int32()), "payload": pa.array([X.pack(level)], pa.binary())})
 
     summaries = table.select("batch", "extra", "doc_id", "seq")
-    counted = table.select("extra").filter("extra IS NOT NULL").mapInArrow(slot_counts, "range int, payload binary").groupBy("range").applyInArrow(summed, "range int, payload binary")
-    levels = np.zeros(1 << SLOTS, np.uint8)  # a table of fixed size: 4 MB
+    counted = table.select("extra").filter("extra IS NOT NULL").mapInArrow(slot_counts, "range int, payload binary").groupBy("range").applyInArrow(releasing(summed), "range int, payload binary")
+    levels = np.zeros(1 << SLOTS, np.uint8)  # a table of fixed size: 1 MB
     for r in counted.collect():
         width = (1 << SLOTS) // SLOT_RANGES
         levels[r["range"] * width : (r["range"] + 1) * width] = X.unpack(r["payload"])[0]
@@ -187,7 +216,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out[order] = (doc[order] == doc[head]) & (number[order] == number[head])
         return _answer(t, out, [len(p[0]) for p in parts])
 
-    owners = materialise(summaries.groupBy("batch").applyInArrow(send_classes, SENT_SQL).groupBy("shard").applyInArrow(first_of_class, SENT_SQL), "owners")
+    owners = materialise(summaries.groupBy("batch").applyInArrow(releasing(send_classes), SENT_SQL).groupBy("shard").applyInArrow(releasing(first_of_class), SENT_SQL), "owners")
 
     def postings(a: pa.Table, t: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -196,24 +225,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _, _, first, _, doc, number = summary_of(t)
         chosen = np.zeros(len(doc), bool)
         chosen[first[_gathered(a, len(first))]] = True
-        lines = Lines(t)
-        # the prefix: rarest words first, ties by hash; the table is sorted by hash, so a word's number there orders ties
-        order = (shared.value[_slots(lines.table)].astype(U) << U(32)) | np.arange(len(lines.table)).astype(U)
-        place = np.empty(len(order), np.int64)
-        place[np.argsort(order)] = np.arange(len(order))
+        lines = Lines(t, table=False)
         keep = chosen[lines.line]
-        key = np.sort((lines.line[keep].astype(U) << U(32)) | place[lines.which[keep]].astype(U))
-        line, rank = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
-        word = lines.table[np.argsort(order)][rank]
-        begin = np.searchsorted(line, line)
-        size = np.diff(lines.cuts)[line]
-        position = np.arange(len(line)) - begin
+        line, word = _by_rarity(lines.line[keep], lines.words[keep], shared.value, len(lines.begin))
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        own = np.diff(np.append(starts, len(line)))
+        size, position = np.repeat(own, own), np.arange(len(line)) - np.repeat(starts, own)
         bit = (R.mix(word) >> U(57)).astype(np.int64)
         sketch = []
         for half in range(2):
             flips = np.where(bit // 64 == half, U(1) << (bit % 64).astype(U), U(0))
-            cuts = np.flatnonzero(np.diff(line, prepend=-1))
-            sketch.append(np.bitwise_xor.reduceat(flips, cuts)[np.cumsum(np.diff(line, prepend=-1) != 0) - 1] if len(cuts) else flips)
+            sketch.append(np.repeat(np.bitwise_xor.reduceat(flips, starts), own) if len(starts) else flips)
         prefix = position < size - -(-(up * size) // down) + 1
         # sets of up to four words match equal sets alone, at 0.8; those are classes already
         lone = _need(size, size + 1, up, down) > size
@@ -233,7 +255,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         doc, number = np.concatenate([p[6].astype(np.int64) + p[8][0] for p in parts]), np.concatenate([p[7] for p in parts])
         batch = np.repeat(t["batch"].to_numpy(), [len(p[0]) for p in parts])
         # by word, then size: partners of a size are a stretch
-        order = np.lexsort((size, word))
+        order = np.argsort((word << U(16)) | np.minimum(size, 65535).astype(U))
+        if size.max(initial=0) >= 65535:
+            order = np.lexsort((size, word))
         word, line, size, position, s0, s1, doc, number, batch = (v[order] for v in (word, line, size.astype(np.int64), position.astype(np.int64), s0, s1, doc, number.astype(np.int64), batch))
         # up to which place a partner of the next sizes can stand
         upper = np.minimum(size * down // up, 0xFFFFFFFF).astype(U)
@@ -270,8 +294,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         x, y, distance, total = x[keep], y[keep], distance[keep], total[keep]
         return pa.Table.from_arrays([pa.array(batch[x]), pa.array(line[x].astype(np.int32)), pa.array(batch[y]), pa.array(line[y].astype(np.int32)), pa.array(distance.astype(np.int32)), pa.array(total > nearest)], schema=PAIR)
 
-    sent = owners.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(postings, SENT_SQL)
-    pairs = materialise(sent.groupBy("shard").applyInArrow(pair, PAIR_SQL), "pairs")
+    sent = owners.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(postings), SENT_SQL)
+    pairs = materialise(sent.groupBy("shard").applyInArrow(releasing(pair), PAIR_SQL), "pairs")
     mine, its = ["x_batch", "x_line"], ["y_batch", "y_line"]
 
     def fetch(a: pa.Table, t: pa.Table) -> pa.Table:
@@ -283,7 +307,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.Table.from_arrays([pa.array(a["batch"].to_numpy()), pa.array(own.astype(np.int32)), pa.array(text, pa.string())], schema=LINE)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        return materialise(wanted.groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "text").groupBy("batch")).applyInArrow(fetch, LINE_SQL), "lines")
+        return materialise(wanted.groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "text").groupBy("batch")).applyInArrow(releasing(fetch), LINE_SQL), "lines")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -338,21 +362,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         carried = from_ipc(next(x for x in t["carried"].to_pylist() if x is not None))
         return with_text(carried, out["kept_text"].combine_chunks(), text_col, schema).filter(pa.array((left > 0) | (lost == 0)))
 
-    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(remove, docs.schema if carry else OUT_SQL)
+    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(remove), docs.schema if carry else OUT_SQL)
 
 
 def _without(t: pa.Table, lines: Lines, removed: np.ndarray) -> pa.Table:
     """Documents without the removed lines; the kept ones are joined by one line break."""
     n = len(lines.data)
-    edge = np.zeros(n + 2, np.int64)
-    np.add.at(edge, lines.begin[~removed], 1)
-    np.add.at(edge, lines.end[~removed], -1)
-    take = np.cumsum(edge[:n]) > 0
     index = np.flatnonzero(~removed)
+    size = lines.end[index] - lines.begin[index]
+    some = index[size > 0]
+    edge = np.zeros(n + 1, np.int8)
+    edge[lines.begin[some]] += 1
+    edge[lines.end[some]] -= 1
+    take = np.cumsum(edge[:n], dtype=np.int8).view(bool)
     more = index[:-1][lines.doc[index[:-1]] == lines.doc[index[1:]]] if len(index) > 1 else index[:0]
     take[lines.end[more]] = True
-    total = np.concatenate([[0], np.cumsum(take)])
-    kept = R.strings(lines.data[take], total[lines.off])
+    sizes = np.bincount(lines.doc[index], weights=size, minlength=len(t)) + np.bincount(lines.doc[more], minlength=len(t))
+    kept = R.strings(lines.data[take], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
     of = np.concatenate([[0], np.cumsum(removed)])[lines.first].astype(np.int32)
     return pa.Table.from_arrays([t["doc_id"].combine_chunks(), pa.array(np.diff(lines.first)), pa.array(np.diff(of).astype(np.int64)), kept, pa.ListArray.from_arrays(pa.array(of), pa.array(lines.number[removed].astype(np.int32)))], schema=OUT)
 
@@ -380,18 +406,26 @@ def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block
             names, sizes, word, owner = shared.value
             sizes = np.array(sizes)
             t = t.sort_by("seq")
-            lines, ids = Lines(t), _ids(t)
+            whole, ids = Lines(t, False), _ids(t)
+            # only lines with enough words to be similar to a query are looked into
+            starts, _, _ = R.words(whole.data, whole.off)
+            count = np.bincount(np.searchsorted(whole.begin, starts, side="right") - 1, minlength=len(whole.begin))
+            some = np.flatnonzero(count >= -(-(up * int(sizes.min())) // down))
+            if not len(some):
+                return FOUND.empty_table()
+            lines = Lines(pa.table({"text": pa.array([whole.data[x:y].tobytes().decode() for x, y in zip(whole.begin[some].tolist(), whole.end[some].tolist(), strict=True)], pa.string())}))
             lo, hi = np.searchsorted(word, lines.table, side="left"), np.searchsorted(word, lines.table, side="right")
             count = (hi - lo)[lines.which]
             line = np.repeat(lines.line, count)
             q = owner[np.repeat(lo[lines.which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
             pair, overlap = np.unique(line * len(sizes) + q, return_counts=True)
-            line, q = pair // max(1, len(sizes)), pair % max(1, len(sizes))
+            line, q = pair // len(sizes), pair % len(sizes)
             size = np.diff(lines.cuts)[line]
             ok = down * overlap >= up * (size + sizes[q] - overlap)
-            return pa.table({"x_batch": pa.array([names[k][0] for k in q[ok]], pa.int64()), "x_line": pa.array([names[k][1] for k in q[ok]], pa.int32()), "doc_id": pa.array(ids[lines.doc[line[ok]]]), "number": pa.array(lines.number[line[ok]].astype(np.int32))})
+            at = some[line[ok]]
+            return pa.Table.from_arrays([pa.array([names[k][0] for k in q[ok]], pa.int64()), pa.array([names[k][1] for k in q[ok]], pa.int32()), pa.array(ids[whole.doc[at]]), pa.array(whole.number[at].astype(np.int32))], schema=FOUND)
 
-        hits = table.groupBy("batch").applyInArrow(scan, "x_batch long, x_line int, doc_id long, number int").groupBy("x_batch", "x_line").agg(F.min(F.struct("doc_id", "number")).alias("least"))
+        hits = table.groupBy("batch").applyInArrow(releasing(scan), "x_batch long, x_line int, doc_id long, number int").groupBy("x_batch", "x_line").agg(F.min(F.struct("doc_id", "number")).alias("least"))
         return materialise(hits, "all")
 
     found, rows = [], []
@@ -418,4 +452,4 @@ def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block
         ok = [(m["doc_id"], m["number"]) < (int(ids[lines.doc[x]]), int(lines.number[x])) for x, m in zip(own, least, strict=True)]
         return pa.table({"x_batch": a["x_batch"], "x_line": a["x_line"]}).filter(pa.array(ok, pa.bool_()))
 
-    return materialise(out.withColumn("batch", F.col("x_batch")).groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "text").groupBy("batch")).applyInArrow(places, "x_batch long, x_line int"), "all")
+    return materialise(out.withColumn("batch", F.col("x_batch")).groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "text").groupBy("batch")).applyInArrow(releasing(places), "x_batch long, x_line int"), "all")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .storage import clean, materialise, shuffle_partitions, small_arrow_batches
+from .storage import clean, materialise, release, shuffle_partitions, small_arrow_batches
 
 U = np.uint64
 BITS = 22
@@ -112,6 +112,8 @@ def _sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
                 names.append(name)
             keys = band_keys(np.array(bands), rows).tolist() if bands else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([None if n is None else keys[known[n]] for n in names], pa.list_(pa.int64())), pa.array([None if n is None else sketches[known[n]] for n in names], pa.binary())], ["doc_id", "n_shingles", "class_id", "bands", "sketch"])
+        _TABLES.clear()
+        release()
 
     return docs.mapInArrow(sign, SIGNED_SQL)
 
@@ -133,6 +135,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: tuple[int,
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(down * both >= up * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     left = pairs.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")

@@ -68,14 +68,17 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
 def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte ranges of the words, and where each document's words begin (n + 1)."""
     inside = ~separator[data]
-    before, after = np.zeros_like(inside), np.zeros_like(inside)
-    if len(data):
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        cuts = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
-        before[cuts] = False
-        after[cuts - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.concatenate([[0] * bool(inside[0]), edges, [n] * bool(inside[-1])]).astype(np.int64)
+    starts, ends = edges[0::2], edges[1::2]
+    cuts = np.unique(off[(off > 0) & (off < n)])
+    cuts = cuts[inside[cuts - 1] & inside[cuts]]  # words that run on across a document border
+    if len(cuts):
+        at = np.searchsorted(starts, cuts)
+        starts, ends = np.insert(starts, at, cuts), np.insert(ends, at - 1, cuts)
     return starts, ends, np.searchsorted(starts, off)
 
 
@@ -151,10 +154,10 @@ def runs(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def keep_words(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, kept: np.ndarray) -> pa.Array:
     """The kept words of each document joined by one space."""
     n, nd = len(data), len(off) - 1
-    edge = np.zeros(n + 1, np.int32)
+    edge = np.zeros(n + 1, np.int8)
     edge[starts[kept]] += 1
     edge[ends[kept]] -= 1
-    take = np.cumsum(edge[:n]) > 0
+    take = np.cumsum(edge[:n], dtype=np.int8).view(bool)
     out = data.copy()
     index = np.flatnonzero(kept)
     doc = doc_of(first)[index]
@@ -162,9 +165,8 @@ def keep_words(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.n
     glue = ends[more]
     out[glue] = 0x20
     take[glue] = True
-    sums = np.zeros(n + 1, np.int64)
-    np.cumsum(take, out=sums[1:])
-    return strings(out[take], sums[off])
+    sizes = np.bincount(doc, weights=ends[index] - starts[index], minlength=nd) + np.bincount(doc_of(first)[more], minlength=nd)
+    return strings(out[take], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
 def strings(data: np.ndarray, off: np.ndarray) -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import exchange as X
 from . import rolling as R
-from .storage import materialise, stage
+from .storage import materialise, releasing, stage
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -153,11 +153,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_arrays([pa.array(b.ids, mask=b.null), pa.array(np.diff(b.first).astype(np.int64)), pa.array((sums[b.first[1:]] - sums[b.first[:-1]]).astype(np.int64)), kept, spans], schema=OUT)
 
     table = staged.table
-    hits = materialise(table.groupBy("batch").applyInArrow(probes, SENT_SQL).groupBy("shard").applyInArrow(meet, SENT_SQL), "anchors")
-    sent = hits.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(candidates, SENT_SQL)
-    smaller = materialise(sent.groupBy("shard").applyInArrow(least_documents, SENT_SQL), "windows")
+    hits = materialise(table.groupBy("batch").applyInArrow(releasing(probes), SENT_SQL).groupBy("shard").applyInArrow(releasing(meet), SENT_SQL), "anchors")
+    sent = hits.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(candidates), SENT_SQL)
+    smaller = materialise(sent.groupBy("shard").applyInArrow(releasing(least_documents), SENT_SQL), "windows")
     answers = hits.selectExpr("0 kind", "*").unionAll(smaller.selectExpr("1 kind", "*"))
-    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(remove, OUT_SQL)
+    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(remove), OUT_SQL)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])

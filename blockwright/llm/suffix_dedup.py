@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from . import exchange as X
 from . import rolling as R
-from .storage import materialise, stage
+from .storage import materialise, releasing, stage
 from .substring_dedup import LAST, SENT, SENT_SQL, _answer, _gathered
 
 U = np.uint64
@@ -300,10 +300,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.Table.from_arrays([t["doc_id"].combine_chunks(), pa.array(np.diff(off)), pa.array(removed), pa.array(np.diff(of).astype(np.int64)), kept, spans], schema=OUT)
 
     table = staged.table
-    hits = materialise(table.groupBy("batch").applyInArrow(anchors, SENT_SQL).groupBy("shard").applyInArrow(meet, SENT_SQL), "anchors")
-    sent = hits.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(sort_and_send, MIXED_SQL)
-    answers = materialise(sent.groupBy("shard").applyInArrow(merge, MIXED_SQL), "merged")
-    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(remove, OUT_SQL)
+    hits = materialise(table.groupBy("batch").applyInArrow(releasing(anchors), SENT_SQL).groupBy("shard").applyInArrow(releasing(meet), SENT_SQL), "anchors")
+    sent = hits.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(sort_and_send), MIXED_SQL)
+    answers = materialise(sent.groupBy("shard").applyInArrow(releasing(merge), MIXED_SQL), "merged")
+    return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(remove), OUT_SQL)
 
 
 def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import clean, small_arrow_batches
+from .storage import clean, release, small_arrow_batches
 from .tokens import encoder
 
 SEQUENCE = pa.schema([("block", pa.int64()), ("sequence", pa.int32()), ("ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("occurrences", pa.list_(pa.int32())), ("pieces", pa.list_(pa.int32()))])
@@ -84,11 +84,11 @@ def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_arrow_batches(docs.sparkSession)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, no, end = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
+        words, part, no, end = encoder(tokenizer), TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         held: list[tuple[int | None, int, int, np.ndarray]] = []
         row = 0
         for b in batches:
-            for doc, own in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for doc, own in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(own + end, "<u4").astype(id_dtype)
                 held += [(doc, row, k, ids[at : at + capacity]) for k, at in enumerate(range(0, len(ids), capacity))]
                 row += 1
@@ -97,6 +97,9 @@ def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     held, no = [], no + 1
         if held:
             yield from _block((part << 32) + no, held, capacity, pad_id, id_dtype)
+        held = []
+        words.rest()
+        release()
 
     return clean(docs, id_col, text_col).mapInArrow(sequences, SEQUENCE_SQL)
 

@@ -9,6 +9,7 @@ letters outside the Latin blocks keeps its case until the tokenizer sees it.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2
 _FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]")
 #: A full stop or comma between a letter and white space.
 _STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \t\r\n]|\Z)")
+#: Chunks that a worker keeps between tasks.
+RESTING = 100_000
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -42,7 +45,7 @@ _BYTE_SIGNS = _byte_signs()
 
 
 class Encoder(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit bytes; cleared when it holds `limit` chunks."""
+    """Chunk -> its ids as little-endian unsigned 32-bit bytes; cut back when it holds `limit` chunks."""
 
     def __init__(self, path: str, limit: int):
         super().__init__()
@@ -57,7 +60,7 @@ class Encoder(dict):
     def learn(self, chunks: set[str]) -> None:
         """Cache the ids of chunks. Words of letters alone go straight to the merges, others through the whole tokenizer."""
         if len(self) + len(chunks) > self.limit:
-            self.clear()
+            self.rest()
         tokenize, other = self.tokenizer.model.tokenize, []
         for chunk in chunks:
             if chunk.isalpha() and chunk.islower() and len(chunk) <= 64:
@@ -72,6 +75,12 @@ class Encoder(dict):
         for chunk, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self[chunk] = np.array(found.ids, "<u4").tobytes()
 
+    def rest(self) -> None:
+        """Keep the chunks learned first, which are the frequent ones, and let the others go."""
+        kept = list(itertools.islice(self.items(), min(RESTING, self.limit // 2)))
+        self.clear()
+        self.update(kept)
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             own = [t or "" for t in texts[at : at + 256]]
@@ -83,7 +92,7 @@ class Encoder(dict):
                 yield self.whole(text) if chunks is None else b"".join(map(self.__getitem__, chunks))
 
 
-def encoder(path: str | None = None, limit: int = 700_000) -> Encoder:
+def encoder(path: str | None = None, limit: int = 500_000) -> Encoder:
     """This process's encoder for a tokenizer file."""
     key = (path or default_path(), limit)
     if key not in _ENCODERS:
