@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     from blockwright.session import session
 
-    s = session("local[4]", "tests", 4, spark__driver__memory="4g", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")), spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__ui__showConsoleProgress="false")
+    s = session("local[4]", "tests", 4, spark__driver__memory="4g", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")), spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__ui__showConsoleProgress="false", spark__python__worker__faulthandler__enabled="true")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
