@@ -90,3 +90,41 @@ def best_actions(all_steps: DataFrame) -> DataFrame:
 
 def action_grid() -> list[tuple[int, int, int]]:
     return [(q, k, h) for q in M.Q_BINS for k in M.K_BINS for h in M.H_BINS]
+
+
+def episodes(images: DataFrame, choose, max_block: int, min_block: int, c: RewardConfig = RewardConfig()) -> DataFrame:  # noqa: B008
+    """Agent-controlled episodes over images(image_id, w, h, px): one environment per image.
+
+    Tiles lie on a stack, the first on top. `choose(features, w, h)` gives (split, q, k, h); a split puts up to
+    four parts of max(min_block, side // 2) on the stack, top left on top, and pays for its bit. An episode
+    is sequential by nature, so an image is one task's; t is the turn.
+    """
+    from blockwright.operators.codec import block_features
+
+    names = ["image_id", "t", "x", "y", "w", "h", *STEP_NAMES[2:]]
+    schema = "image_id int, t int, x int, y int, w int, h int, " + STEP_SQL.split(", ", 2)[2]
+
+    def play(t: pa.Table) -> pa.Table:
+        image = t.to_pylist()[0]
+        w, h = image["w"], image["h"]
+        px = np.array(image["px"], np.float32).reshape(h, w, 3)
+        cut = lambda x, y, a, b: (x, y, min(a, w - x), min(b, h - y))
+        stack = [cut(x, y, max_block, max_block) for y in range(0, h, max_block) for x in range(0, w, max_block)][::-1]
+        rows = []
+        while stack:
+            x, y, bw, bh = stack.pop()
+            block = px[y : y + bh, x : x + bw]
+            split, q, k, bits = choose(block_features(block[..., 0]), bw, bh)
+            where = {"image_id": image["image_id"], "t": len(rows), "x": x, "y": y, "w": bw, "h": bh}
+            if split and bw > min_block and bh > min_block:
+                cw, ch = max(min_block, bw // 2), max(min_block, bh // 2)
+                parts = [(i, j) for j in (0, ch) for i in (0, cw) if i < bw and j < bh]
+                stack += [(x + i, y + j, bw - i if i else min(cw, bw), bh - j if j else min(ch, bh)) for i, j in parts][::-1]
+                loss = c.alpha_bpp * c.w_bpp * c.split_bit_cost / max(1, bw * bh)
+                rows.append(where | {"q": 0, "k": 0, "h_bits": 0, "split": 1, "bpp": c.split_bit_cost / max(1, bw * bh), "mse": 0.0, "psnr": 120.0, "ssim": 1.0, "msssim": 1.0, "gmsd": 0.0, "psnr_req": None, "mss_req": None, "reward": -loss, "score": loss})
+            else:
+                rows.append(where | block_step(block, x, y, q, k, bits, c))
+        kinds = {"int": pa.int32(), "double": pa.float64()}
+        return pa.Table.from_arrays([pa.array([r[n] for r in rows], kinds[s.split()[1]]) for n, s in zip(names, schema.split(", "), strict=True)], names)
+
+    return images.select("image_id", "w", "h", "px").groupBy("image_id").applyInArrow(play, schema)

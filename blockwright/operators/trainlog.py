@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwright.functions.scalars import duration_seconds, five_numbers, once, relative, row_class, to_bool
+from blockwright.functions.scalars import duration_seconds, five_numbers, fixed_text, once, relative, row_class, to_bool
 
 NUMBER = r"[-+]?[\d\.eE]+"
 TIME = r"[\dhms\.]+"
@@ -173,3 +173,19 @@ def report(lines: DataFrame, run: list[str] | None = None) -> DataFrame:
     nested = latest.join(batches.select(*keys, "batch").distinct(), [*keys, "batch"], "left_semi").select(*keys, F.lit(1), "batch", F.concat(F.lit("PROG "), "label"), F.col("pct").cast("double"))
     total = totals(batches, run).select(*keys, F.lit(2), F.lit(None).cast("int"), F.lit("TOTAL"), "R")
     return rows.unionAll(nested).unionAll(total)
+
+
+def formatted(batches: DataFrame, run: list[str] | None = None) -> DataFrame:
+    """The text cells of an epoch table: lists padded to the widest entry of their place in the epoch and phase."""
+    run = run or []
+    w = Window.partitionBy(*run, "epoch", "phase")
+    out, lists = batches, {}
+    for name, decimals in (("bpp", 3), ("psnr", 2)):
+        cells = [fixed_text(F.col(f"{name}_{q}"), decimals) for q in FIVE]
+        out = once(out, **{f"_{name}{i}": c for i, c in enumerate(cells)})
+        lists[name] = F.concat(F.lit("["), F.concat_ws(", ", *[F.rpad(f"_{name}{i}", F.max(F.length(f"_{name}{i}")).over(w), F.lit(" ")) for i in range(5)]), F.lit("]"))
+    out = out.select("*", *[c.alias(f"{n}_cell") for n, c in lists.items()])
+    base = F.avg("R").over(w)
+    signed = lambda c: F.concat(F.when(c >= 0, "+").otherwise(""), fixed_text(c, 3))
+    took = F.when(F.col("batch_elapsed_s").isNull() | F.isnan("batch_elapsed_s"), "nan").otherwise(F.concat(fixed_text(F.col("batch_elapsed_s"), 1), F.lit("s")))
+    return out.select(*run, "epoch", "phase", "batch", "bpp_cell", "psnr_cell", fixed_text(F.col("ms"), 3).alias("ms_cell"), signed(F.col("R")).alias("r_cell"), signed(relative(F.col("R"), base)).alias("r_rel_cell"), took.alias("dt_cell"))
