@@ -70,6 +70,12 @@ def tables(bits: int = BITS, coordinates: int = COORDINATES) -> tuple[np.ndarray
     return _TABLES[bits]
 
 
+def done_signing() -> None:
+    """Free the tables in this process; a module function, so that no closure carries them along."""
+    _TABLES.clear()
+    release()
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     one, shifts = tables()
     at = one[(s & U((1 << BITS) - 1)).astype(np.int64)]
@@ -112,8 +118,7 @@ def _sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
                 names.append(name)
             keys = band_keys(np.array(bands), rows).tolist() if bands else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([None if n is None else keys[known[n]] for n in names], pa.list_(pa.int64())), pa.array([None if n is None else sketches[known[n]] for n in names], pa.binary())], ["doc_id", "n_shingles", "class_id", "bands", "sketch"])
-        _TABLES.clear()
-        release()
+        done_signing()
 
     return docs.mapInArrow(sign, SIGNED_SQL)
 
