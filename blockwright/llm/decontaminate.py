@@ -230,6 +230,7 @@ def _found(index: DataFrame, tests: Tests) -> DataFrame:
                     spans[d].append({"item": name, "start": x, "stop": y})
                 n = len(p.ids)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, no)), pa.array(np.arange(n, dtype=np.int32)), pa.array(p.ids, mask=~p.known), pa.array(np.diff(p.first)), pa.array(spans, pa.list_(SPAN))], schema=FOUND)
+        release()
 
     return index.mapInArrow(scan, FOUND_SQL)
 
@@ -278,6 +279,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                         hit[np.searchsorted(p.first, p.phrases(windows)[1], side="right") - 1] = True
                     hits.append(X.pack(hit))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.binary())], ["payload", "rows", "hit"])
+            release()
 
         left = left.mapInArrow(mark, "payload binary, rows binary, hit binary")
 
@@ -286,6 +288,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
             for rows, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = from_ipc(rows)
                 yield from with_text(t, t["text"].combine_chunks(), text_col, schema).filter(pa.array(~X.unpack(hit)[0])).to_batches()
+        release()
 
     return left.select("rows", "hit").mapInArrow(kept, docs.schema)
 

@@ -5,8 +5,8 @@ A line is its set of lower-cased words. Equal sets form a class, represented by
 words of a class are ordered by rarity, its prefix (the words of which a similar set must share one)
 is posted to the shard of each word, and shards pair postings under the length filter, the positional
 filter and a bound from 128-bit parity sketches, which is a true bound: each differing word flips one
-bit. A class goes if an earlier class is similar. It keeps the nearest candidates of each word;
-they are verified on the full words of both lines, nearest first. A class none of whose kept
+bit. A class goes if an earlier class is similar. Of each word it keeps its `nearest` candidates where
+the nearest is similar by a wide margin, else up to `most`; they are verified on the full words of both lines, nearest first. A class none of whose kept
 candidates is similar, and that had more, is compared with all lines: such classes are a query set,
 met in blocks of bounded size. So nothing is lost to the bound on candidates.
 
@@ -158,7 +158,7 @@ def _need(a: np.ndarray, b: np.ndarray, up: int, down: int) -> np.ndarray:
     return -(-(up * (a + b)) // (up + down))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 64, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 8, most: int = 4096, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
     """Remove each line that a line before it, in (doc_id, line) order, matches at Jaccard >= threshold of word sets.
 
     Matches are judged on the input. Returns doc_id, n_lines, n_removed, kept_text and removed_lines;
@@ -290,9 +290,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         head = np.flatnonzero(group)[np.cumsum(group) - 1] if len(x) else x
         nth = np.arange(len(x)) - head
         total = np.diff(np.append(np.flatnonzero(group), len(x)))[np.cumsum(group) - 1] if len(x) else x
-        keep = nth < nearest
-        x, y, distance, total = x[keep], y[keep], distance[keep], total[keep]
-        return pa.Table.from_arrays([pa.array(batch[x]), pa.array(line[x].astype(np.int32)), pa.array(batch[y]), pa.array(line[y].astype(np.int32)), pa.array(distance.astype(np.int32)), pa.array(total > nearest)], schema=PAIR)
+        # where the nearest candidate is similar by a wide margin a few will do; where it is not, all are kept
+        near_x, near_y = x[head], y[head]
+        clear = size[near_x] + size[near_y] - 1.25 * distance[head] - 4 >= 2 * _need(size[near_x], size[near_y], up, down)
+        room = np.where(clear, nearest, most)
+        keep = nth < room
+        x, y, distance, total, room = x[keep], y[keep], distance[keep], total[keep], room[keep]
+        return pa.Table.from_arrays([pa.array(batch[x]), pa.array(line[x].astype(np.int32)), pa.array(batch[y]), pa.array(line[y].astype(np.int32)), pa.array(distance.astype(np.int32)), pa.array(total > room)], schema=PAIR)
 
     sent = owners.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(postings), SENT_SQL)
     pairs = materialise(sent.groupBy("shard").applyInArrow(releasing(pair), PAIR_SQL), "pairs")

@@ -264,6 +264,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             names = [class_of(s) if len(s) else None for s in shingle_sets(b.column(0), shingle)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column(0)], ["class_id", "text"])
+        release()
 
     texts = materialise(source.join(involved, source.doc_id == involved.rep, "left_semi").select("text").mapInArrow(named, "class_id long, text string"), "texts")
     sketches = classes.select("class_id", "sketch")

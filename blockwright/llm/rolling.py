@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         inverse = U(pow(int(_BASE), -1, 1 << 64))
         for k, base in enumerate((_BASE, inverse)):
             p = np.full(size, base, U)
@@ -48,6 +48,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def forget_powers() -> None:
+    """Free the tables of powers; they are made again in a few milliseconds."""
+    _POWERS[:] = [np.ones(1, U), np.ones(1, U)]
+
+
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import rolling
+
 #: Used only where the session names no checkpoint folder, as in tests.
 DEFAULT_WORK = "/tmp/checkpoints/blockwright"
 _TABLES: list[str] = []
@@ -49,6 +51,7 @@ def small_arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 def release() -> None:
     """Give freed memory back to the system: Python workers stay alive between stages, beside the JVM's heap."""
+    rolling.forget_powers()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -24,7 +24,7 @@ _FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]")
 #: A full stop or comma between a letter and white space.
 _STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \t\r\n]|\Z)")
 #: Chunks that a worker keeps between tasks.
-RESTING = 100_000
+RESTING = 50_000
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 

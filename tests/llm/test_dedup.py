@@ -122,7 +122,7 @@ def test_line_dedup_variants_with_and_without_room_for_candidates(spark, nearest
             w[k] = f"r{d}x{k}"
         rows.append((d, " ".join(w) + "\n" + " ".join(rng.choice(w, 4, replace=False))))
     _, gone = lines_by_hand(rows)
-    got = {(r["doc_id"], k) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), nearest=nearest, block_lines=7, batch_bytes=3000).collect() for k in r["removed_lines"]}
+    got = {(r["doc_id"], k) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), nearest=nearest, most=nearest, block_lines=7, batch_bytes=3000).collect() for k in r["removed_lines"]}
     assert got == gone and 0 < len(gone) < 120
 
 
