@@ -50,6 +50,7 @@ class Encoder(dict):
     def __init__(self, path: str, limit: int):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,14 +62,14 @@ class Encoder(dict):
         """Cache the ids of chunks. Words of letters alone go straight to the merges, others through the whole tokenizer."""
         if len(self) + len(chunks) > self.limit:
             self.rest()
-        tokenize, other = self.tokenizer.model.tokenize, []
+        tokenize, other, raw = self.tokenizer.model.tokenize, [], self.raw
         for chunk in chunks:
             if chunk.isalpha() and chunk.islower() and len(chunk) <= 64:
                 if chunk.isascii():
-                    self[chunk] = np.array([t.id for t in tokenize(chunk)], "<u4").tobytes()
+                    self[chunk] = b"".join([raw[t.id] for t in tokenize(chunk)])
                     continue
                 if unicodedata.is_normalized("NFC", chunk) and not _FOREIGN.search(chunk):
-                    self[chunk] = np.array([t.id for t in tokenize(chunk.encode().decode("latin-1").translate(_BYTE_SIGNS))], "<u4").tobytes()
+                    self[chunk] = b"".join([raw[t.id] for t in tokenize(chunk.encode().decode("latin-1").translate(_BYTE_SIGNS))])
                     continue
             if len(chunk) <= 64:
                 other.append(chunk)
