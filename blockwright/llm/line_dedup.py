@@ -158,7 +158,7 @@ def _need(a: np.ndarray, b: np.ndarray, up: int, down: int) -> np.ndarray:
     return -(-(up * (a + b)) // (up + down))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 8, most: int = 4096, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 8, most: int = 64, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
     """Remove each line that a line before it, in (doc_id, line) order, matches at Jaccard >= threshold of word sets.
 
     Matches are judged on the input. Returns doc_id, n_lines, n_removed, kept_text and removed_lines;
@@ -292,7 +292,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         total = np.diff(np.append(np.flatnonzero(group), len(x)))[np.cumsum(group) - 1] if len(x) else x
         # where the nearest candidate is similar by a wide margin a few will do; where it is not, all are kept
         near_x, near_y = x[head], y[head]
-        clear = size[near_x] + size[near_y] - 1.25 * distance[head] - 4 >= 2 * _need(size[near_x], size[near_y], up, down)
+        differing = -64 * np.log1p(-np.minimum(distance[head], 63) / 64)  # words that likely differ, for so many flipped bits
+        clear = size[near_x] + size[near_y] - 1.3 * differing - 8 >= 2 * _need(size[near_x], size[near_y], up, down)
         room = np.where(clear, nearest, most)
         keep = nth < room
         x, y, distance, total, room = x[keep], y[keep], distance[keep], total[keep], room[keep]
