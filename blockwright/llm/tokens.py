@@ -4,7 +4,7 @@ The tokenizer lower-cases, and splits at white space and between letters and oth
 merges. So a text's ids are the ids of its chunks in order, and a full stop or comma behind a word is a
 chunk of its own. Chunks recur far more often than texts; each worker keeps a bounded cache of them. A
 text with white space on which Python and the tokenizer could differ is encoded whole, and one with
-letters outside the Latin blocks keeps its case until the tokenizer sees it.
+letters outside the Latin blocks is cut at white space alone and keeps its case until the tokenizer sees it.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ class Encoder(dict):
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             own = [t or "" for t in texts[at : at + 256]]
-            cut = [None if _ODD.search(t) else _STOP.sub(r" \1", t if _FOREIGN.search(t) or "<|" in t else t.lower()).split() for t in own]
+            cut = [None if _ODD.search(t) else t.split() if _FOREIGN.search(t) else _STOP.sub(r" \1", t if "<|" in t else t.lower()).split() for t in own]
             new = set().union(*[c for c in cut if c]) - self.keys()
             if new:
                 self.learn(new)
