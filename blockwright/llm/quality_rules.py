@@ -2,7 +2,8 @@
 
 A document's character classes and its share of common words are compared with references of its
 language by Jensen-Shannon distance (base 2, 0 to 1); a distance is judged only from a minimum length
-on. Everything is a Spark SQL expression over the row: no shuffle, no Python.
+on. The limit of the word distance is each language's own, computed from its reference: the distance of a
+text in which the common words have a tenth of their usual shares. Everything is a Spark SQL expression over the row: no shuffle, no Python.
 
 Defined cases: a null text has no words and fails the base rule; a null or unknown language is judged
 by the nearest character reference and not by words; repeated rows are judged each; extra columns are
@@ -12,6 +13,7 @@ Windows of five words compare by 64-bit hashes within one document.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +44,9 @@ class Rules:
     min_chars: int = 200
     min_common_words: int = 100
     max_class_distance: float = 0.30
-    max_word_distance: float = 0.55
+    #: A text is odd from where common words have this part of their usual shares; a fixed distance for all languages takes its place.
+    min_common_part: float = 0.1
+    max_word_distance: float | None = None
     class_shares: dict = field(default_factory=lambda: CLASS_SHARES)
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
@@ -62,6 +66,13 @@ def _distance(shares: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(F.zip_with(shares, reference, part), F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def word_limit(table: dict[str, int], part: float) -> float:
+    """The distance from its reference of a text whose common words have `part` of their usual shares."""
+    usual = [v / 1000 for v in table.values()]
+    pairs = [(part * q, q) for q in usual] + [(1 - part * sum(usual), 1 - sum(usual))]
+    return math.sqrt(sum(x * math.log2(2 * x / (p + q)) for p, q in pairs for x in (p, q) if x > 0) / 2)
+
+
 def _doubles(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -115,6 +126,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common = F.when(F.col("lang") == lang, _doubles([*(v / 1000 for v in table.values()), 1 - sum(table.values()) / 1000])).otherwise(common)
     places = F.sequence(F.lit(1), F.lit(len(CODES)))
     counts = F.transform(places, lambda k: (F.length("code") - F.length(F.replace("code", F.substring(F.lit(CODES), k, F.lit(1)), F.lit("")))) / F.greatest(F.col("n_words"), F.lit(1)))
+    limit = F.lit(r.max_word_distance).cast("double")
+    if r.max_word_distance is None:
+        for lang, table in r.common_words.items():
+            limit = F.when(F.col("lang") == lang, F.lit(word_limit(table, r.min_common_part))).otherwise(limit)
     df = _once(df, n_repeat_words=F.when(end >= 0, covered).otherwise(0).cast("long"), shares=shares, near=near, common=common, used=counts)
     df = _once(
         df,
@@ -122,5 +137,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         word_distance=F.when(F.col("common").isNotNull(), _distance(F.concat("used", F.array(F.aggregate("used", F.lit(1.0), lambda a, x: a - x))), F.col("common"))),
         base_failed=(F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_percent * F.col("n_words")),
     )
-    odd = ((F.col("word_chars") >= r.min_chars) & (F.col("class_distance") > r.max_class_distance)) | ((F.col("n_words") >= r.min_common_words) & F.coalesce(F.col("word_distance") > r.max_word_distance, F.lit(False)))
+    odd = ((F.col("word_chars") >= r.min_chars) & (F.col("class_distance") > r.max_class_distance)) | ((F.col("n_words") >= r.min_common_words) & F.coalesce(F.col("word_distance") > limit, F.lit(False)))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "word_distance", "row")

@@ -17,7 +17,7 @@ from blockwright.llm import best_fit as BF
 from blockwright.llm import token_output as TO
 from blockwright.llm.decontaminate import build_index, decontaminate, drop_contaminated, matches
 from blockwright.llm.html_text import page_text, extract_text
-from blockwright.llm.quality_rules import quality_rules
+from blockwright.llm.quality_rules import COMMON_WORDS, quality_rules, word_limit
 from blockwright.llm.secret_scan import default_forest, features, labelled_findings, scan_secrets
 from blockwright.llm.tokens import default_path, encoder
 
@@ -185,6 +185,23 @@ def test_quality_verdict(spark):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
 
 
+@pytest.mark.parametrize("lang", sorted(COMMON_WORDS))
+def test_quality_by_words_alone(spark, lang):
+    rng = np.random.default_rng(3)
+    rest = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(400)]
+    usual = [w for w, n in COMMON_WORDS[lang].items() for _ in range(round(n * 0.4))]
+    clean = rest[: 400 - len(usual)] + usual
+    rng.shuffle(clean)
+    other = [w for w, n in COMMON_WORDS["en" if lang != "en" else "de"].items() if w not in COMMON_WORDS[lang] for _ in range(round(n * 0.4))]
+    foreign = rest[: 400 - len(other)] + other
+    rng.shuffle(foreign)
+    rows = [(1, " ".join(clean), lang), (2, " ".join(rest), lang), (3, " ".join(foreign), lang), (4, " ".join(rest[:99]), lang), (5, " ".join(rest), None)]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {d: r["kept"] for d, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+    assert not any(r["base_failed"] or r["class_distance"] > 0.3 for r in got.values())
+    assert abs(got[2]["word_distance"] - word_limit(COMMON_WORDS[lang], 0)) < 1e-9
+
+
 def test_no_python_in_native_plans(spark, sf):
     from blockwright.llm.queries import op6_quality_rules, op9_secret_scan
 
