@@ -50,21 +50,29 @@ def normalised_advantage(df: DataFrame, column: str, name: str = "norm") -> Data
 
 
 def early_stop(epochs: DataFrame, run: str, patience: int, min_delta_bpp: float = 0.0, min_delta_db: float = 0.0, start_after: int = 0, enabled: bool = True) -> DataFrame:
-    """The stopper's state after each epoch of epochs(run, epoch, bpp, db): a fold, as bests move only by enough."""
-    seq = epochs.groupBy(run).agg(F.sort_array(F.collect_list(F.struct("epoch", "bpp", "db"))).alias("s"))
-    state = F.struct(F.lit(-1).alias("epoch"), F.lit(float("inf")).alias("best_bpp"), F.lit(float("-inf")).alias("best_db"), F.lit(0).alias("wait"), F.lit(False).alias("stop"))
-
-    def step(a: Column, x: Column) -> Column:
-        b = a[F.size(a) - 1]
-        warm = (x["epoch"] < start_after) if enabled else F.lit(True)
-        rate = F.when(warm, x["bpp"] < b["best_bpp"]).otherwise(b["best_bpp"] - x["bpp"] >= min_delta_bpp)
-        db = F.when(warm, x["db"] > b["best_db"]).otherwise(x["db"] - b["best_db"] >= min_delta_db)
-        wait = F.when(warm | rate | db, 0).otherwise(b["wait"] + 1)
-        new = F.struct(x["epoch"].cast("int").alias("epoch"), F.when(rate, x["bpp"]).otherwise(b["best_bpp"]).alias("best_bpp"), F.when(db, x["db"]).otherwise(b["best_db"]).alias("best_db"), wait.alias("wait"), (~warm & (wait >= patience)).alias("stop"))
-        return F.concat(a, F.array(new))
-
-    kind = "array<struct<epoch:int,best_bpp:double,best_db:double,wait:int,stop:boolean>>"
-    return seq.select(run, F.explode(F.slice(F.aggregate("s", F.array(state).cast(kind), lambda a, x: step(a, x).cast(kind)), 2, F.size("s"))).alias("e")).select(run, "e.*")
+    """The stopper's state after each epoch of epochs(run, epoch, bpp, db): a fold, as bests move only by enough.
+
+    A null or NaN improves nothing. A run is one task's, as its fold is sequential.
+    """
+
+    def fold(t):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        t = t.take(pc.sort_indices(t, [(c, "ascending") for c in ("epoch", "bpp", "db")], null_placement="at_start"))
+        best_bpp, best_db, wait, out = float("inf"), float("-inf"), 0, []
+        for epoch, bpp, db in zip(*(t[c].to_pylist() for c in ("epoch", "bpp", "db")), strict=True):
+            warm = not enabled or (epoch is not None and epoch < start_after)
+            rate = bpp is not None and (bpp < best_bpp if warm else best_bpp - bpp >= min_delta_bpp)
+            more = db is not None and (db > best_db if warm else db - best_db >= min_delta_db)
+            best_bpp, best_db = bpp if rate else best_bpp, db if more else best_db
+            wait = 0 if warm or rate or more else wait + 1
+            out.append((best_bpp, best_db, wait, not warm and wait >= patience))
+        kinds = (pa.float64(), pa.float64(), pa.int32(), pa.bool_())
+        return pa.table([t[run], t["epoch"], *(pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True))], [run, "epoch", "best_bpp", "best_db", "wait", "stop"])
+
+    rows = epochs.select(run, F.col("epoch").cast("int").alias("epoch"), F.col("bpp").cast("double").alias("bpp"), F.col("db").cast("double").alias("db"))
+    return rows.groupBy(run).applyInArrow(fold, f"`{run}` {rows.schema[run].dataType.simpleString()}, epoch int, best_bpp double, best_db double, wait int, stop boolean")
 
 
 def batch_reward(steps: DataFrame, keys: list[str], alpha_bpp: float = 1.0, alpha_psnr: float = 1.0, alpha_msssim: float = 1.0, min_psnr_db: float | None = None, psnr_margin_db: float = 0.5, mss_required: float = 0.0) -> DataFrame:

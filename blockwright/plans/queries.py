@@ -278,7 +278,7 @@ def q_adv_norm(spark, sf):
 
 
 def q_early_stop(spark, sf):
-    e = table(spark, sf, "events").select((F.col("event_id") % 100).cast("int").alias("run"), F.floor(F.col("event_id") / 100).cast("int").alias("epoch"), (F.col("value") / 100).alias("bpp"), (30 + F.col("value") / 50).alias("db")).filter("epoch < 10")
+    e = table(spark, sf, "events").select((F.col("event_id") % 100).cast("int").alias("run"), F.floor(F.col("event_id") / 100).cast("int").alias("epoch"), (F.col("value") / 100).alias("bpp"), (30 + F.col("value") / 50).alias("db"))
     return RO.early_stop(e, "run", 3, 0.01, 0.05, 2).select("run", "epoch", F.round("best_bpp", 6).alias("best_bpp"), F.round("best_db", 6).alias("best_db"), "wait", "stop")
 
 

@@ -184,3 +184,24 @@ def test_ordered_batches(spark):
     df = spark.createDataFrame([(k, 10 * k) for k in range(100)], "i long, b long").repartition(7)
     got = sorted(tuple(r) for r in RO.batches(df, "i", "b", 16).collect())
     assert got == [(k, k // 16, sum(10 * j for j in range(k + 1))) for k in range(100)]
+
+
+def test_early_stop_reads_all_events(spark, tmp_path):
+    from blockwright.plans.queries import q_early_stop
+
+    rng = np.random.default_rng(6)
+    rows = [(k, round(float(v), 3)) for k, v in enumerate(rng.random(3000) * 50)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for run in range(100):
+        bpp, db, wait = float("inf"), float("-inf"), 0
+        for epoch in range(30):
+            v = rows[100 * epoch + run][1]
+            x, y = v / 100, 30 + v / 50
+            warm = epoch < 2
+            a, b = (x < bpp, y > db) if warm else (bpp - x >= 0.01, y - db >= 0.05)
+            bpp, db, wait = x if a else bpp, y if b else db, 0 if warm or a or b else wait + 1
+            want[run, epoch] = (round(bpp, 6), round(db, 6), wait, not warm and wait >= 3)
+    got = {(r["run"], r["epoch"]): (r["best_bpp"], r["best_db"], r["wait"], r["stop"]) for r in q_early_stop(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(g[0] - w[0]) + abs(g[1] - w[1]) < 3e-6 and g[2:] == w[2:] for g, w in ((got[k], want[k]) for k in want))
