@@ -36,23 +36,31 @@ class RewardConfig:
     version: int = 3
 
 
-def block_step(px: np.ndarray, x: int, y: int, q: int, k: int, h: int, c: RewardConfig) -> dict:
+def block_step(px: np.ndarray, x: int, y: int, q: int, k: int, h: int, c: RewardConfig, seen: dict | None = None) -> dict:
+    """One action's step; seen: what the block's other actions have found, as many share candidates."""
+    seen = {} if seen is None else seen
     record, _, _ = M.encode_block(px, x, y, q, k, h, c.compress and c.version >= 3)
-    found, _ = M.propose(M.dequantize(M.quantize(px, q), q), k)
-    errors = [M.mse(f, px) for f in found]
+    if (q, k) not in seen:
+        found, _ = M.propose(M.dequantize(M.quantize(px, q), q), k)
+        errors = [M.mse(f, px) for f in found]
+        seen[q, k] = found, errors
+    found, errors = seen[q, k]
     best = int(np.argmin(errors))
     bpp = 8 * len(record.to_bytes(c.version)) / (px.shape[0] * px.shape[1])
     psnr = float(-10 * np.log10(max(errors[best], 1e-12)))
-    a, b = np.clip(px, 0, 1), np.clip(found[best], 0, 1)
-    if c.scale != 1.0:
-        size = [max(1, round(n * c.scale)) for n in px.shape[:2]]
-        a, b = M.area_resize(a, *size), M.area_resize(b, *size)
-    # offset-chroma blocks are measured as if they were RGB, as the reward is defined
-    ms = M.ms_ssim(a, b)
+    chosen = found[best].tobytes()
+    if chosen not in seen:
+        a, b = np.clip(px, 0, 1), np.clip(found[best], 0, 1)
+        if c.scale != 1.0:
+            size = [max(1, round(n * c.scale)) for n in px.shape[:2]]
+            a, b = M.area_resize(a, *size), M.area_resize(b, *size)
+        # offset-chroma blocks are measured as if they were RGB, as the reward is defined
+        seen[chosen] = M.ms_ssim(a, b), M.gmsd(a, b) if c.with_gmsd else 0.0
+    ms, gm = seen[chosen]
     psnr_req = c.min_psnr_db if c.min_psnr_db is not None else (psnr if c.psnr_median is None else c.psnr_median) - c.psnr_margin_db
     mss_req = c.min_msssim if c.min_msssim is not None else c.msssim_floor
     loss = c.alpha_bpp * bpp + c.alpha_psnr * max(0.0, psnr_req - psnr) + c.alpha_msssim * max(0.0, mss_req - ms)
-    return {"q": q, "k": k, "h_bits": h, "split": 0, "bpp": bpp, "mse": errors[best], "psnr": psnr, "ssim": 1.0, "msssim": ms, "gmsd": M.gmsd(a, b) if c.with_gmsd else 0.0, "psnr_req": psnr_req, "mss_req": mss_req, "reward": -loss, "score": loss}
+    return {"q": q, "k": k, "h_bits": h, "split": 0, "bpp": bpp, "mse": errors[best], "psnr": psnr, "ssim": 1.0, "msssim": ms, "gmsd": gm, "psnr_req": psnr_req, "mss_req": mss_req, "reward": -loss, "score": loss}
 
 
 def split_reward(w: Column, h: Column, c: RewardConfig = RewardConfig()) -> Column:  # noqa: B008
@@ -74,7 +82,7 @@ def steps(blocks: DataFrame, actions: list[tuple[int, int, int]], c: RewardConfi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"image_id": row["image_id"], "leaf_no": row["leaf_no"]} | block_step(px, row["x"], row["y"], *a, c) for row, px in _arrays(b) for a in actions]
+            rows = [{"image_id": row["image_id"], "leaf_no": row["leaf_no"]} | block_step(px, row["x"], row["y"], *a, c, seen) for row, px in _arrays(b) for seen in [{}] for a in actions]
             kinds = {"int": pa.int32(), "double": pa.float64()}
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[t]) for n, t in (s.split() for s in STEP_SQL.split(", "))], STEP_NAMES)
 

@@ -352,8 +352,7 @@ def q_split_reward(spark, sf):
 
 
 def q_rd_grid_best(spark, sf):
-    grid = [(q, k, h) for q in M.Q_BINS[::4] for k in (1, 6) for h in M.H_BINS]
-    s = E.steps(CO.to_blocks(_ycc_pixels(spark, sf)), grid, E.RewardConfig(min_psnr_db=38.0))
+    s = E.steps(CO.to_blocks(_ycc_pixels(spark, sf)), E.action_grid(), E.RewardConfig(min_psnr_db=38.0))
     return _rounded(E.best_actions(s), "bpp", "psnr", "msssim", "reward")
 
 

@@ -139,3 +139,17 @@ def test_streamed_progress_equals_batch(spark, sf, tmp_path):
 def test_save_rounding(spark):
     df = spark.createDataFrame([(-0.1,), (0.0,), (0.5,), (1.2,)], "v double")
     assert [r[0] for r in df.select(P.to_bytes(F.col("v"))).collect()] == [0, 0, 128, 255]
+
+
+def test_grid_query_searches_all_actions(spark, sf):
+    from blockwright.plans import queries as Q
+
+    best = {(r["image_id"], r["leaf_no"]): r for r in Q.q_rd_grid_best(spark, sf).collect()}
+    rows = CO.to_blocks(Q._ycc_pixels(spark, sf)).select("image_id", "leaf_no", "x", "y", "w", "h", "px").orderBy("image_id", "leaf_no").limit(4).collect()
+    conf = E.RewardConfig(min_psnr_db=38.0)
+    for r in rows:
+        px = np.array(r["px"], np.float32).reshape(r["h"], r["w"], 3)
+        s = [E.block_step(px, r["x"], r["y"], q, k, h, conf) for q in range(8, 33, 2) for k in range(1, 7) for h in (0, 8)]
+        want = min(s, key=lambda a: (a["score"], a["q"], a["k"], a["h_bits"]))
+        got = best[r["image_id"], r["leaf_no"]]
+        assert len(s) == 156 and (got["q"], got["k"], got["h_bits"]) == (want["q"], want["k"], want["h_bits"]) and abs(got["reward"] - want["reward"]) < 1e-6
