@@ -6,6 +6,9 @@ forest trained on labelled findings scores it. The forest is fitted on the drive
 labelled rows and becomes one constant of arrays that a higher-order expression walks, so scanning is
 a projection: no shuffle, no Python.
 
+The words around a candidate are the text before and after it in its word, three words before and two
+behind; of a longer stretch the NEAR characters nearest to the candidate.
+
 Defined cases: a null or empty text has no candidates; a null path is an unknown path; repeated rows
 are scanned each; a word may hold several candidates; extra columns are not read; an empty table
 gives an empty result.
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled rows are fitted, whatever is given.
 FIT_ROWS = 4000
+#: How far each stretch of text about a candidate reaches.
+NEAR = 200
 RUN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "transitions", "variety", "hex", "coverage", "vowels", "known_prefix", "telling_words", "harmless_words", "test_path", "assigned", "quoted")
 # Fragments of identifiers, paths and prose that cover a candidate which is no key.
@@ -83,9 +88,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = F.filter(F.transform("words", lambda w, i: F.when((F.char_length(w) >= 16) & w.rlike("[0-9]") & w.rlike(RUN), i)), lambda i: i.isNotNull())
     df = df.select("doc_id", "path", "words", F.explode(found).alias("word_no"))
     word = F.col("words")[F.col("word_no")]
-    near = F.concat_ws(" ", F.slice("words", F.greatest(F.col("word_no") - 2, F.lit(1)), F.least(F.lit(3), F.col("word_no"))), F.regexp_replace(word, RUN, " "), F.slice("words", F.col("word_no") + 2, F.lit(2)))
-    df = df.select("doc_id", "path", "word_no", F.substring(near, 1, 400).alias("around"), F.posexplode(F.filter(F.regexp_extract_all(word, F.lit(f"({RUN})"), F.lit(1)), lambda c: c.rlike("[0-9]"))).alias("nth", "candidate"))
-    return df
+    before = F.transform(F.slice("words", F.greatest(F.col("word_no") - 2, F.lit(1)), F.least(F.lit(3), F.col("word_no"))), lambda w: F.right(w, F.lit(NEAR)))
+    behind = F.transform(F.slice("words", F.col("word_no") + 2, F.lit(2)), lambda w: F.left(w, F.lit(NEAR)))
+    # the k-th run stands between the k-th gap and the next; a run has 16 characters or more, so a few cover NEAR
+    df = _once(df, runs=F.regexp_extract_all(word, F.lit(f"({RUN})"), F.lit(1)), gaps=F.split(word, RUN, -1), before=before, behind=behind).drop("words")
+    df = _once(df, pieces=F.zip_with("gaps", "runs", lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))))
+    most = NEAR // 16 + 1
+
+    def found_at(run: Column, i: Column) -> Column:
+        left = F.concat(F.array_join(F.slice("pieces", F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most))), ""), F.col("gaps")[i])
+        right = F.array_join(F.slice("pieces", i + 2, F.lit(most + 1)), "")
+        return F.struct(run.alias("candidate"), F.concat_ws(" ", F.col("before"), F.right(left, F.lit(NEAR)), F.left(right, F.lit(NEAR)), F.col("behind")).alias("around"))
+
+    df = df.select("doc_id", "path", "word_no", F.posexplode(F.filter(F.transform("runs", found_at), lambda c: c["candidate"].rlike("[0-9]"))).alias("nth", "found"))
+    return df.select("doc_id", "path", "word_no", "found.around", "nth", "found.candidate")
 
 
 def scan_secrets(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", least: float = 0.5) -> DataFrame:

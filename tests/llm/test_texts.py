@@ -18,7 +18,7 @@ from blockwright.llm import token_output as TO
 from blockwright.llm.decontaminate import build_index, decontaminate, drop_contaminated, matches
 from blockwright.llm.html_text import page_text, extract_text
 from blockwright.llm.quality_rules import COMMON_WORDS, quality_rules, word_limit
-from blockwright.llm.secret_scan import default_forest, features, labelled_findings, scan_secrets
+from blockwright.llm.secret_scan import candidates, default_forest, features, labelled_findings, scan_secrets
 from blockwright.llm.tokens import default_path, encoder
 
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -223,6 +223,19 @@ def test_secrets_held_out_and_hostile(spark):
     assert scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_are_judged_by_the_text_beside_them(spark):
+    keys = [f"AKIA{k}IOSFODNN7EXAMPL" for k in range(3)]
+    filler = ",".join(f'"f{k}":{k}' for k in range(90))
+    whole = "{" + filler + f',"api_key":"{keys[0]}",' + filler + f',"etag":"{keys[1]}",' + filler + f',"aws_secret_access_key":"{keys[2]}"' + "}"
+    rows = [(1, "set " + whole + " now"), (2, "x" + "," * 500 + f" password {keys[0]}" + "," * 500 + " token"), (3, f"{keys[0]} a b c"), (4, f"u v w {keys[0]};{keys[1]}")]
+    got = {(r["doc_id"], r["candidate"]): r["around"] for r in candidates(spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")).collect()}
+    first, second, third = (got[1, k] for k in keys)
+    assert '"api_key":"' in first and "etag" not in first and '"etag":"' in second and "api_key" not in second and '"aws_secret_access_key":"' in third
+    assert all(len(x) < 1300 for x in got.values()) and first.startswith("set ") and third.endswith(" now")
+    assert "password" in got[2, keys[0]] and got[2, keys[0]].endswith(" token")
+    assert got[3, keys[0]].split() == ["a", "b"] and got[4, keys[0]].split() == ["u", "v", "w", ";" + keys[1]] and got[4, keys[1]].split() == ["u", "v", "w", keys[0] + ";"]
+
+
 PAGES = [
     ("", ""), (None, ""), ("plain  text\n more", "plain text more"),
     ("<p>one<p>two", "one\n\ntwo"), ("<div>a</div>b<div>c", "a\nb\nc"), ("a<br>b<br><br>c", "a\nb\n\nc"),
