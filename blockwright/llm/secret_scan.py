@@ -1,6 +1,6 @@
 """Secret scanning with a random forest that removes false positives, as SQL expressions.
 
-Candidates are runs of 16 or more key characters with a digit. Each is described by its length,
+Candidates are all runs of 16 or more key characters, with digits or without. Each is described by its length,
 character shares and transitions, dictionary coverage, its path and the words around it. A random
 forest trained on labelled findings scores it. The forest is fitted on the driver on a bounded number of
 labelled rows and becomes one constant of arrays that a higher-order expression walks, so scanning is
@@ -85,7 +85,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, path, word_no, place in the word, candidate and the words around it."""
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(RUN))
     df = _once(df, words=F.split("text", r"[ \t\n\x0B\f\r]+")).drop("text")
-    found = F.filter(F.transform("words", lambda w, i: F.when((F.char_length(w) >= 16) & w.rlike("[0-9]") & w.rlike(RUN), i)), lambda i: i.isNotNull())
+    found = F.filter(F.transform("words", lambda w, i: F.when((F.char_length(w) >= 16) & w.rlike(RUN), i)), lambda i: i.isNotNull())
     df = df.select("doc_id", "path", "words", F.explode(found).alias("word_no"))
     word = F.col("words")[F.col("word_no")]
     before = F.transform(F.slice("words", F.greatest(F.col("word_no") - 2, F.lit(1)), F.least(F.lit(3), F.col("word_no"))), lambda w: F.right(w, F.lit(NEAR)))
@@ -100,7 +100,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         right = F.array_join(F.slice("pieces", i + 2, F.lit(most + 1)), "")
         return F.struct(run.alias("candidate"), F.concat_ws(" ", F.col("before"), F.right(left, F.lit(NEAR)), F.left(right, F.lit(NEAR)), F.col("behind")).alias("around"))
 
-    df = df.select("doc_id", "path", "word_no", F.posexplode(F.filter(F.transform("runs", found_at), lambda c: c["candidate"].rlike("[0-9]"))).alias("nth", "found"))
+    df = df.select("doc_id", "path", "word_no", F.posexplode(F.transform("runs", found_at)).alias("nth", "found"))
     return df.select("doc_id", "path", "word_no", "found.around", "nth", "found.candidate")
 
 
@@ -154,6 +154,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     """(candidate, words around, path, is a secret): findings as reviewers label them, drawn from their usual forms."""
     rng = random.Random(seed)
     hexes, upper, both = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    letters = both[:52]
     drawn = lambda signs, k: "".join(rng.choice(signs) for _ in range(k))
     prose = "the of and to in is that for on with as it by was are from this be or an la de que en und der die".split()
     words = lambda k: " ".join(rng.choice(prose) for _ in range(k))
@@ -161,14 +162,17 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     source = lambda: rng.choice(["src/app.py", "config/prod.yml", "deploy/.env", "src3", "src12", "web/main.js", ""])
     quiet = lambda: rng.choice(["tests/test_app.py", "docs/example.md", "fixtures/sample.json", "src/app.py", "src7", "src0", "README.md"])
     sign = lambda: rng.choice([' = " "', ": ", " = ' '", "= ", ' := " "'])
+    spoken = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") + rng.choice(["", "", "n", "s", "t"]) for _ in range(rng.randint(2, 5)))
+    beside = lambda: f"{words(1)} {name()}{sign()}{words(2)}" if rng.random() < 0.4 else words(5)
+    cased = lambda ws: rng.choice([lambda: "_".join(ws), lambda: "-".join(ws), lambda: "/".join(ws), lambda: "".join(ws), lambda: "".join(w.title() for w in ws), lambda: "_".join(ws).upper()])()
     out = []
     for _ in range(n):
         if rng.random() < 0.5:
-            body = rng.choice([lambda: drawn(hexes, rng.choice([32, 40, 40, 64])), lambda: drawn(both, rng.randint(20, 64)), lambda: "AKIA" + drawn(upper, 16), lambda: "ghp_" + drawn(both, 36), lambda: "sk_live_" + drawn(both, 24), lambda: drawn(both + "+/", 43) + "="])()
+            body = rng.choice([lambda: drawn(hexes, rng.choice([32, 40, 40, 64])), lambda: drawn(both, rng.randint(20, 64)), lambda: "AKIA" + drawn(upper, 16), lambda: "ghp_" + drawn(both, 36), lambda: "sk_live_" + drawn(both, 24), lambda: drawn(both + "+/", 43) + "=", lambda: drawn(letters, rng.randint(16, 48)), lambda: drawn(rng.choice([letters[:26], letters[26:]]), rng.randint(16, 40)), lambda: "AKIA" + drawn(upper[:26], 16)])()
             around = f"{words(1)} {name()}{sign()}{words(2)}" if rng.random() < 0.93 else words(4)
             out.append((body, around, source(), 1))
         else:
-            kind = rng.randrange(9)
+            kind = rng.randrange(14)
             body, around = [
                 lambda: (drawn("0123456789", rng.choice([16, 16, 19, 20])), words(5)),
                 lambda: ("-".join(drawn(hexes, k) for k in (8, 4, 4, 4, 12)), f"{rng.choice(['uuid', 'id', 'request', 'guid'])}: {words(3)}"),
@@ -179,6 +183,11 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
                 lambda: (rng.choice(["your", "example", "sample", "test", "dummy"]) + rng.choice(["_", "-"]) + name() + "_" + "x" * rng.randint(6, 16) + str(rng.randint(0, 9)), f"{name()}{sign()}{words(2)}"),
                 lambda: (rng.choice("xX0aA1") * rng.randint(16, 40) + str(rng.randint(0, 9)), f"{name()}{sign()}{words(1)}"),
                 lambda: ("".join(rng.choice(prose) for _ in range(rng.randint(5, 9))).ljust(16, "a") + rng.choice(["", "1", "20"]) + rng.choice(["", "2024"]) + str(rng.randint(0, 9)), words(5)),
+                lambda: (rng.choice("-_+/") * rng.randint(16, 80), beside()),
+                lambda: (cased([rng.choice(DICTIONARY) for _ in range(rng.randint(4, 7))]).ljust(16, "s"), beside()),
+                lambda: (cased([spoken() for _ in range(rng.randint(2, 4))]).ljust(16, "e"), beside()),
+                lambda: (cased([rng.choice([*prose, *DICTIONARY, spoken()]) for _ in range(rng.randint(4, 7))]).ljust(16, "e"), beside()),
+                lambda: (rng.choice("xXaA") * rng.randint(16, 40), beside()),
             ][kind]()
             out.append((body, around, quiet(), 0))
     return out

@@ -236,6 +236,19 @@ def test_secrets_are_judged_by_the_text_beside_them(spark):
     assert got[3, keys[0]].split() == ["a", "b"] and got[4, keys[0]].split() == ["u", "v", "w", ";" + keys[1]] and got[4, keys[1]].split() == ["u", "v", "w", keys[0] + ";"]
 
 
+def test_secrets_without_digits(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda signs, k: "".join(signs[i] for i in rng.integers(0, len(signs), k))
+    big = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["AKIA" + draw(big, 16) for _ in range(100)] + [draw(big + big.lower(), 40) for _ in range(100)]
+    prose = ["internationalization", "telecommunications", "responsibilities-and-duties", "/usr/share/applications/default", "DatabaseConnectionManager", "-" * 40, "_" * 20, "get_user_session_by_name", "counterrevolutionaries", "MAX_CONNECTION_POOL_SIZE"]
+    rows = [(k, f'and the aws access_key = "{c}" is', "src/app.py") for k, c in enumerate(keys)] + [(1000 + k, f"of the {c} that was in it", "src1") for k, c in enumerate(prose)]
+    got = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r["candidate"] in {*keys, *prose}}
+    assert set(got) == {r[0] for r in rows}
+    assert sum(got[k]["is_secret"] for k in range(100)) >= 95 and sum(got[k]["is_secret"] for k in range(100, 200)) >= 95
+    assert [prose[k] for k in range(len(prose)) if got[1000 + k]["is_secret"]] == []
+
+
 PAGES = [
     ("", ""), (None, ""), ("plain  text\n more", "plain text more"),
     ("<p>one<p>two", "one\n\ntwo"), ("<div>a</div>b<div>c", "a\nb\nc"), ("a<br>b<br><br>c", "a\nb\n\nc"),
