@@ -88,12 +88,15 @@ class Lines:
         self.line, self.which = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
         self.cuts = np.searchsorted(self.line, np.arange(len(self.begin) + 1))
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+    def classes(self, wide_from: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the word set of each line; 0 for a line without words. Words of a line are told apart by 42 bits."""
         n = len(self.begin)
-        if n >= 1 << 22:
+        if n >= wide_from:
             self.distinct()
-            line, word = self.line, self.table[self.which]
+            line, word = self.line, self.table[self.which] >> U(22) << U(22)
+            new = np.ones(len(line), bool)
+            new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
+            line, word = line[new], word[new]
         else:
             key = np.sort((self.line.astype(U) << U(42)) | (self.words >> U(22)))
             key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key

@@ -133,6 +133,15 @@ def test_rarity_order_is_the_same_with_and_without_wide_keys():
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
 
 
+def test_classes_are_the_same_with_and_without_wide_keys():
+    t = pa.table({"text": ["one\ntwo one\n\n" + "a b c d e f\n" * 3 + "b a", None, "", "one two\nx"]})
+    a, b = LD.Lines(t, table=False), LD.Lines(t, table=False)
+    for x in (a, b):
+        x.words[2] = x.words[1] ^ np.uint64(1)  # told apart by the low bits alone
+    (a1, a2), (b1, b2) = a.classes(), b.classes(wide_from=0)
+    assert (a1 == b1).all() and (a2 == b2).all() and len(set(a1.tolist())) > 4
+
+
 @pytest.mark.parametrize(("k", "up"), [(3, 85), (5, 80)])
 def test_near_dedup_on_a_hostile_table(spark, k, up):
     rows = [(r[0], r[1]) for r in hostile()]
