@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from blockwright.functions.blockmath import H_BINS, K_BINS, Q_BINS
 from blockwright.operators.codec import _arrays, block_features
+from blockwright.operators import rollout as RO
 from blockwright.operators.environment import RewardConfig, block_step
 
 HEADS = {"split": 1, "q": len(Q_BINS), "k": len(K_BINS), "h": len(H_BINS), "v": 1}
@@ -173,18 +174,48 @@ class Trainer:
         return losses
 
     def save(self) -> tuple[str, bytes]:
-        """(settings as JSON, weights): a checkpoint."""
-        return json.dumps({"config": asdict(self.config), "step": self.step}), self.net.to_bytes()
+        """(settings as JSON, weights and Adam's moments): a checkpoint."""
+        out = io.BytesIO()
+        np.savez(out, **self.net.p, **{f"adam_{n}/{k}": x for n, moments in (("m", self.m), ("v", self.v)) for k, x in moments.items()})
+        return json.dumps({"config": asdict(self.config), "step": self.step}), out.getvalue()
+
+    @classmethod
+    def load(cls, settings: str, data: bytes) -> Trainer:
+        """The trainer that `save` wrote; its next updates are those that the saved one would make."""
+        s, arrays = json.loads(settings), dict(np.load(io.BytesIO(data)))
+        net = PolicyNet.__new__(PolicyNet)
+        net.p = {k: x for k, x in arrays.items() if "/" not in k}
+        m, v = ({k.split("/")[1]: x for k, x in arrays.items() if k.startswith(f"adam_{n}/")} for n in "mv")
+        return cls(net, PPOConfig(**s["config"]), s["step"], m, v)
+
+
+def _means(steps: DataFrame) -> dict[str, float]:
+    return steps.agg(F.avg("rew").alias("reward"), F.avg("bpp").alias("bpp"), F.avg("psnr").alias("psnr")).first().asDict()
+
+
+def validate(blocks: DataFrame, net: PolicyNet, config: PPOConfig | None = None, reward: RewardConfig | None = None, turn: int = 0) -> dict[str, float]:
+    """Mean reward, bpp and psnr of all blocks under sampled actions, without an update."""
+    return _means(rollout(blocks, net, config or PPOConfig(), reward or RewardConfig(), turn))
+
+
+def sampled_steps(steps: DataFrame, config: PPOConfig, turn: int, sample: int):
+    """At most `sample` steps, drawn by hash, with the advantages that they have among all steps of their task."""
+    adv = RO.gae(steps.select("env_id", "t", "rew", "val", F.lit(False).alias("done")), config.gamma, config.lam)
+    drawn = steps.orderBy(F.xxhash64("env_id", "t", F.lit(turn))).limit(sample)
+    return drawn.join(adv, ["env_id", "t"]).toPandas().sort_values(["env_id", "t"])
 
 
 def train(blocks: DataFrame, iterations: int, config: PPOConfig | None = None, reward: RewardConfig | None = None, sample: int = 4096) -> tuple[Trainer, list[dict]]:
-    """Alternate roll-outs and updates; an iteration learns from `sample` steps at most, a documented bound on what the driver gets."""
+    """Alternate roll-outs and updates; an iteration learns from `sample` steps at most, a documented bound on what the driver gets.
+
+    Advantages and the means of the history are those of all steps, taken before the sample is drawn.
+    """
     config, reward = config or PPOConfig(), reward or RewardConfig()
     trainer, history = Trainer(PolicyNet(18, config.hidden, config.seed), config), []
     for turn in range(iterations):
-        r = rollout(blocks, trainer.net, config, reward, turn).orderBy(F.xxhash64("env_id", "t", F.lit(turn))).limit(sample).toPandas().sort_values(["env_id", "t"])
-        done = (r.env_id != r.env_id.shift(-1)).to_numpy(float)
-        adv = advantages(r.rew.to_numpy(), r.val.to_numpy(), done, config.gamma, config.lam)
-        losses = trainer.update(np.stack(r.obs), np.stack(r.act).astype(int), r.logp.to_numpy(), adv, adv + r.val.to_numpy())
-        history.append({"iteration": turn, "reward": float(r.rew.mean()), "bpp": float(r.bpp.mean()), "psnr": float(r.psnr.mean()), "loss": float(np.mean(losses))})
+        steps = rollout(blocks, trainer.net, config, reward, turn).persist()
+        r = sampled_steps(steps, config, turn, sample)
+        losses = trainer.update(np.stack(r.obs), np.stack(r.act).astype(int), r.logp.to_numpy(), r.advantage.to_numpy(), r.ret.to_numpy())
+        history.append({"iteration": turn} | _means(steps) | {"loss": float(np.mean(losses))})
+        steps.unpersist()
     return trainer, history

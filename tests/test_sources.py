@@ -99,6 +99,31 @@ def test_advantages():
     assert np.allclose(got, [5.53462075, 4.8215, 3.0])
 
 
+def test_sampled_steps_keep_the_advantages_of_all(spark):
+    conf, net = ppo.PPOConfig(hidden=8), ppo.PolicyNet(18, 8, 1)
+    steps = ppo.rollout(blocks(spark, 24).coalesce(2), net, conf, E.RewardConfig()).persist()
+    every = steps.toPandas().sort_values(["env_id", "t"])
+    want = {}
+    for env, g in every.groupby("env_id"):
+        a = ppo.advantages(g.rew.to_numpy(), g.val.to_numpy(), np.zeros(len(g)), conf.gamma, conf.lam)
+        want |= {(env, t): x for t, x in zip(g.t, a, strict=True)}
+    got = ppo.sampled_steps(steps, conf, 0, 7)
+    assert len(got) == 7 and all(abs(want[e, t] - a) < 1e-9 and abs(a + v - r) < 1e-9 for e, t, a, v, r in zip(got.env_id, got.t, got.advantage, got.val, got.ret, strict=True))
+    few, all_steps = (ppo.train(blocks(spark, 24), 1, conf, sample=n)[1][0] for n in (5, 100))
+    assert all(abs(few[k] - all_steps[k]) < 1e-9 for k in ("reward", "bpp", "psnr"))
+    assert abs(ppo.validate(blocks(spark, 24), ppo.PolicyNet(18, 8, conf.seed), conf)["reward"] - few["reward"]) < 1e-9
+
+
+def test_checkpoints_carry_on(spark):
+    rng = np.random.default_rng(2)
+    t = ppo.Trainer(ppo.PolicyNet(18, 8, 1), ppo.PPOConfig(hidden=8))
+    data = rng.normal(size=(12, 18)), np.stack([rng.integers(0, n, 12) for n in (13, 6, 2)], 1), rng.normal(-5, 0.1, 12), rng.normal(size=12), rng.normal(size=12)
+    t.update(*data)
+    back = ppo.Trainer.load(*t.save())
+    assert back.config == t.config and back.step == t.step and t.update(*data) == back.update(*data)
+    assert all(np.array_equal(t.net.p[k], back.net.p[k]) for k in t.net.p)
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.yaml").write_text("encoder: {default_q: 9, block_size: 16, max_block: 64, compression: {type: none}, split: {var_thresh: 0.1}}\nformat: {version: 3}\npolicy: {algorithm: budget, q_bounds: [8, 12]}\nextra: 1\n")
     tree = config.load_yaml(str(tmp_path / "c.yaml"))
