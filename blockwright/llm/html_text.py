@@ -3,7 +3,8 @@
 A tree builder supplies the tags that HTML lets authors leave out (paragraphs, list items, table
 parts and cells end by what follows them), visibility rules drop what a browser doesn't show, and the
 renderer writes the rest: block elements start lines, blocks with margins leave one blank line, list
-items get markers and indents, table cells are aligned in columns, pre keeps its spacing.
+items get markers and indents, table cells are aligned in columns, pre keeps its spacing. Formulas are
+written as their running text without annotations, drawings as the labels of their text elements.
 
 Defined cases: null or empty html gives ''; unclosed tags, stray end tags, unclosed comments and
 unclosed raw-text elements end with the page; nesting of any depth is walked without recursion
@@ -29,7 +30,9 @@ MAX_TABLES = 8
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: Parts of drawings and formulas that aren't shown.
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 MARGIN = frozenset("blockquote center dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 LINES = frozenset("address article aside body caption dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section select summary tbody td tfoot th thead tr".split()) | MARGIN
@@ -220,6 +223,32 @@ def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, visible
 
 
+def _drawn(node: Node, visible: bool) -> Node:
+    """A formula without its annotations, or the labels of a drawing, as an element of running text."""
+    out = Node("span", {})
+    stack = [(node, visible, node.tag == "math")]
+    while stack:
+        top, seen, inside = stack.pop()
+        if isinstance(top, str):
+            if seen and inside:
+                out.children.append(top)
+            continue
+        there, seen = _shown(top, seen)
+        if not there or top.tag in UNDRAWN or top.attributes.get("display", "").strip().lower() == "none":
+            continue
+        if top.tag == "foreignobject":
+            holder = Node("div", {"style": "visibility:visible" if seen else "visibility:hidden"})
+            holder.children = top.children
+            out.children.append(holder)
+            continue
+        if top.tag == "text" and not inside:
+            inside = True
+            out.children.append(" ")
+            stack.append((" ", True, True))
+        stack += [(c, seen, inside) for c in reversed(top.children)]
+    return out
+
+
 def _number(text: str, default: int) -> int:
     try:
         return int(text)
@@ -252,6 +281,9 @@ def render(root: Node, tables: int = 0) -> list[str]:
         there, seen = _shown(child, visible)
         if not there:
             continue
+        if tag in ("svg", "math"):
+            child, seen = _drawn(child, visible), True
+            tag = child.tag
         if tag == "br":
             page.end_line(True)
             continue

@@ -261,6 +261,20 @@ PAGES = [
 ]
 
 
+DRAWN = [
+    ("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding=tex>no</annotation></math> b", "a x+1 b"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><g><text>one</text><text>two <tspan>three</tspan></text></g>no</svg>b", "a one two three b"),
+    ("<svg><g display=none><text>no</text></g><g style='display:none'><text>no</text></g><path d=x /><text>yes</text></svg>", "yes"),
+    ("<div style='visibility:hidden'><math><mi>no</mi></math><svg><text>no</text></svg></div><svg hidden><text>no</text></svg>z", "z"),
+    ("<table><tr><td><svg><text>a</text></svg><td><math><mi>b</mi></math></table>", "a  b"), ("<math>" * 3000 + "x", "x"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), DRAWN)
+def test_formulas_and_drawings(page, text):
+    assert page_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), [p for p in PAGES if p[1] is not None])
 def test_pages(page, text):
     assert page_text(page) == text
