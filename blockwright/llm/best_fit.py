@@ -17,6 +17,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -75,24 +76,42 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
+def cut_pieces(off: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, piece, begin, length) of the pieces of texts whose ids lie between the offsets."""
+    size = np.diff(off)
+    n = -(-size // capacity)
+    row = np.repeat(np.arange(len(size)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begin = off[:-1][row] + piece * capacity
+    return row, piece, begin, np.minimum(capacity, off[1:][row] - begin)
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece: only documents of over `capacity` tokens are cut."""
     small_arrow_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seen, end = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int), end_id.to_bytes(4, "little")
+        own, part, end = encoder(tokenizer), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            rows = []
-            for doc, ids_of in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist()), strict=True):
-                ids = ids_of + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    n = len(piece) // 4
-                    rows.append((part, doc, k, at // 4, n, zlib.crc32(piece), seen[n]))
-                    seen[n] += 1
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["part", "doc_id", "piece", "start", "length", "ids_crc32", "place"])
-        own.rest()
+            ids, off = own.ids(b.column(1), end)
+            row, piece, begin, length = cut_pieces(off, capacity)
+            raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+            crc = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            # the place of a piece among this task's pieces of its length
+            order = np.argsort(length, kind="stable")
+            counts = np.bincount(length, minlength=capacity + 1)
+            place = np.empty(len(length), np.int64)
+            place[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+            place += seen[length]
+            seen += counts
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(row), part, np.int32)), b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity),
+                    pa.array(length), pa.array(crc, pa.int64()), pa.array(place),
+                ],
+                ["part", "doc_id", "piece", "start", "length", "ids_crc32", "place"],
+            )
         release()
 
     return clean(docs, id_col, text_col).mapInArrow(cut, PIECES_SQL)

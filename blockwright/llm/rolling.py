@@ -27,6 +27,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def translated(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] of bytes, several times as fast as by index; the result may be written to."""
+    return np.frombuffer(bytearray(data).translate(table.view(np.uint8).tobytes()), table.dtype)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit bijective finaliser."""
     x = x ^ (x >> U(30))
@@ -72,7 +77,7 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte ranges of the words, and where each document's words begin (n + 1)."""
-    inside = ~separator[data]
+    inside = ~translated(data, separator)
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)

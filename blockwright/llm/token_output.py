@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .best_fit import cut_pieces
 from .storage import clean, release, small_arrow_batches
 from .tokens import encoder
 
@@ -88,17 +89,19 @@ def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held: list[tuple[int | None, int, int, np.ndarray]] = []
         row = 0
         for b in batches:
-            for doc, own in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(own + end, "<u4").astype(id_dtype)
-                held += [(doc, row, k, ids[at : at + capacity]) for k, at in enumerate(range(0, len(ids), capacity))]
-                row += 1
+            ids, off = words.ids(b.column(1), end)
+            if len(ids) and int(ids.max()) > np.iinfo(id_dtype).max:
+                raise ValueError(f"id {ids.max()} does not fit {id_dtype}")
+            ids, docs_of = ids.astype(id_dtype), b.column(0).to_pylist()
+            for own, k, at, n in zip(*(x.tolist() for x in cut_pieces(off, capacity)), strict=True):
+                held.append((docs_of[own], row + own, k, ids[at : at + n]))
                 if len(held) >= block_pieces:
                     yield from _block((part << 32) + no, held, capacity, pad_id, id_dtype)
                     held, no = [], no + 1
+            row += b.num_rows
         if held:
             yield from _block((part << 32) + no, held, capacity, pad_id, id_dtype)
         held = []
-        words.rest()
         release()
 
     return clean(docs, id_col, text_col).mapInArrow(sequences, SEQUENCE_SQL)
