@@ -41,9 +41,9 @@ MATCH_SQL = "doc_id long, item_id string, kind string, start int, stop int"
 def _terms(col) -> tuple[np.ndarray, np.ndarray]:
     """(term hashes, first word of each text)."""
     data, off = R.column_bytes(col)
-    data = R.LOWER[data]
+    data = R.translated(data, R.LOWER)
     starts, ends, first = R.words(data, off, R.NON_ALNUM)
-    return R.span_hashes(data, starts, ends), first
+    return R.word_hashes(data, starts, ends), first
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:

@@ -5,10 +5,12 @@ A line is its set of lower-cased words. Equal sets form a class, represented by
 words of a class are ordered by rarity, its prefix (the words of which a similar set must share one)
 is posted to the shard of each word, and shards pair postings under the length filter, the positional
 filter and a bound from 128-bit parity sketches, which is a true bound: each differing word flips one
-bit. A class goes if an earlier class is similar. Of each word it keeps its `nearest` candidates where
-the nearest is similar by a wide margin, else up to `most`; they are verified on the full words of both lines, nearest first. A class none of whose kept
-candidates is similar, and that had more, is compared with all lines: such classes are a query set,
-met in blocks of bounded size. So nothing is lost to the bound on candidates.
+bit. A class goes if an earlier class is similar. Partners under a word are looked at in widening rings of like
+size, further ones only for a class without a clearly similar candidate. Of each word it keeps its
+`nearest` candidates where the nearest is similar by a wide margin, else up to `most`; they are verified
+on the full words of both lines, nearest first. A class none of whose kept candidates is similar, and
+that may have more, is compared with the classes of all batches: such classes are a query set, met in
+blocks of bounded size. So nothing is lost to the bound on candidates.
 
 Rarity is the count of all documents' words in a table of fixed size (its slots shared by words of
 equal hash), so the order is the same everywhere and the table that each task gets doesn't grow (one byte for each of 2**20 slots).
@@ -17,7 +19,7 @@ Defined cases: lines without words are kept and never matched; a null or empty t
 a document whose every line with words is removed has an empty kept text if nothing else is left;
 lines of repeated rows (same doc_id and place) don't remove each other; a null doc_id sorts after all
 others; extra columns are not read; an empty table gives an empty result. Words compare by 64-bit
-hashes, classes by 96 bits.
+hashes, classes by 96 bits over whole words. A batch's memory is a multiple of 3 MB or of its longest text.
 """
 
 from __future__ import annotations
@@ -53,9 +55,9 @@ FOUND = pa.schema([("x_batch", pa.int64()), ("x_line", pa.int32()), ("doc_id", p
 
 
 class Lines:
-    """Lines of a batch: byte ranges, documents, and the distinct words of each, sorted by word hash."""
+    """Lines of a batch: byte ranges and documents; split() finds the words of all or of some lines."""
 
-    def __init__(self, t: pa.Table, word_sets: bool = True, table: bool = True):
+    def __init__(self, t: pa.Table):
         self.data, self.off = R.column_bytes(t["text"])
         breaks = np.flatnonzero(self.data == 10)
         # the k-th line of a document runs from behind the edge before it
@@ -72,43 +74,50 @@ class Lines:
         self.begin[np.flatnonzero(inner) + 1] = breaks + 1
         self.doc = np.repeat(np.arange(len(self.off) - 1), lines_per_doc)
         self.number = np.arange(n) - np.repeat(self.first[:-1], lines_per_doc)
-        if word_sets:
-            low = R.LOWER[self.data]
-            starts, ends, _ = R.words(low, self.off)
-            self.words = R.span_hashes(low, starts, ends)
-            self.line = np.searchsorted(self.begin, starts, side="right") - 1
-            # empty lines share their begin with the next line: the last line that begins there holds the word
-            if table:
-                self.distinct()
-
-    def distinct(self) -> None:
-        self.table, which = np.unique(self.words, return_inverse=True)
-        key = np.sort((self.line.astype(U) << U(32)) | which.astype(U))
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        self.line, self.which = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
-        self.cuts = np.searchsorted(self.line, np.arange(len(self.begin) + 1))
-
-    def classes(self, wide_from: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the word set of each line; 0 for a line without words. Words of a line are told apart by 42 bits."""
+
+    def split(self, chosen: np.ndarray | None = None) -> None:
+        """Hashes of the words, and the line of each."""
+        low = R.translated(self.data, R.LOWER)
+        starts, ends, _ = R.words(low, self.off)
+        # an empty line that ends a document shares its begin with the next line, which has the words
+        n = np.diff(np.append(np.searchsorted(starts, self.begin), len(starts)))
+        self.line = np.repeat(np.arange(len(n)), n)
+        if chosen is not None:
+            own = chosen[self.line]
+            starts, ends, self.line = starts[own], ends[own], self.line[own]
+        self.words = R.word_hashes(low, starts, ends)
+
+    def texts(self, index: np.ndarray) -> pa.Array:
+        """The texts of lines as they stand."""
+        size = self.end[index] - self.begin[index]
+        return R.strings(self.data[R.spans(self.begin[index], size)], np.concatenate([[0], np.cumsum(size)]))
+
+    def classes(self, wide_from: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of the word set of each line and its size; 0 for a line without words."""
         n = len(self.begin)
-        if n >= wide_from:
-            self.distinct()
-            line, word = self.line, self.table[self.which] >> U(22) << U(22)
-            new = np.ones(len(line), bool)
-            new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
-            line, word = line[new], word[new]
-        else:
-            key = np.sort((self.line.astype(U) << U(42)) | (self.words >> U(22)))
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-            line, word = (key >> U(42)).astype(np.int64), key << U(22)
-        cuts = np.searchsorted(line, np.arange(n + 1))
-        size = np.diff(cuts)
+        again = np.zeros(len(self.line), bool)  # words that their line holds already
+        order, wide = np.zeros(0, np.int64), n >= wide_from
+        if not wide:
+            key = (self.line.astype(U) << U(42)) | (self.words >> U(22))
+            order = np.argsort(key)
+            key, word = key[order], self.words[order]
+            same = key[1:] == key[:-1]
+            wide = bool((word[1:][same] != word[:-1][same]).any())
+        if wide:
+            order = np.lexsort((self.words, self.line))
+            line, word = self.line[order], self.words[order]
+            same = (line[1:] == line[:-1]) & (word[1:] == word[:-1])
+        again[order[1:][same] if len(order) else order] = True
+        cuts = np.searchsorted(self.line, np.arange(n + 1))
+        kept = np.concatenate([[0], np.cumsum(~again)])
+        size = kept[cuts[1:]] - kept[cuts[:-1]]
         out = []
-        for h in (R.mix(word), R.mix(word ^ U(0x5555555555555555))):
+        for h in (R.mix(self.words), R.mix(self.words ^ U(0x5555555555555555))):
+            h[again] = U(0)
             total = np.concatenate([[U(0)], np.cumsum(h, dtype=U)])
             x = R.mix(total[cuts[1:]] - total[cuts[:-1]] + size.astype(U)) | U(1)
             out.append(np.where(size > 0, x, U(0)))
-        return out[0], out[1] >> U(32)
+        return out[0], out[1] >> U(32), size
 
 
 def _slots(words: np.ndarray) -> np.ndarray:
@@ -134,26 +143,49 @@ def _by_rarity(line: np.ndarray, words: np.ndarray, levels: np.ndarray, n: int)
     return line[new], words[new]
 
 
-def _summary(t: pa.Table) -> bytes:
-    """Classes of the lines, and counts of the words by slot."""
-    lines = Lines(t, table=False)
-    c1, c2 = lines.classes()
-    slots, counts = np.unique((lines.words >> U(64 - SLOTS)).astype(np.uint32), return_counts=True)
-    return X.pack(c1, c2.astype(np.uint32), np.diff(lines.first).astype(np.uint32), X.differences(slots.astype(U)).astype(np.uint32), counts.astype(np.uint32))
+class _Classes:
+    """The different word sets of a batch, in the order of their first hash, as they are kept with it.
+
+    k1, k2: both hashes; first: the line of least (doc_id, number); size: words; of: class of each line (-1: none).
+    """
 
+    def __init__(self, t: pa.Table):
+        """t: (doc_id, extra) rows of a batch in order."""
+        k1, k2, first, size, of, per_doc, *_ = X.unpack(next(x for x in t["extra"].to_pylist() if x is not None))
+        self.k1, self.k2 = X.sums(k1), k2
+        self.first, self.size, self.of = first.astype(np.int64), size.astype(np.int64), of.astype(np.int64) - 1
+        self.doc, self.number = _places(_ids(t), per_doc.astype(np.int64))
 
-def _own_classes(c1: np.ndarray, c2: np.ndarray, ids: np.ndarray, per_doc: np.ndarray):
-    """Different classes of a batch in the order of c1: both hashes, the line of least (doc_id, number), and the class of each line (-1: none)."""
-    doc = np.repeat(ids, per_doc)
-    number = np.arange(len(c1)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+
+def _places(ids: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and number of each line."""
+    return np.repeat(ids, per_doc), np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+
+
+def _summary(t: pa.Table) -> bytes:
+    """What _Classes holds, and counts of the words by slot."""
+    lines, ids = Lines(t), _ids(t)
+    lines.split()
+    c1, c2, size = lines.classes()
+    per_doc = np.diff(lines.first)
+    doc, number = _places(ids, per_doc)
+    rank = np.arange(len(doc))
+    if (ids[1:] <= ids[:-1]).any():
+        rank[np.lexsort((number, doc))] = np.arange(len(doc))
     at = np.flatnonzero(c1)
-    at = at[np.lexsort((number[at], doc[at], c2[at], c1[at]))]
+    at = at[np.argsort(c1[at])]
     new = np.ones(len(at), bool)
-    new[1:] = (c1[at][1:] != c1[at][:-1]) | (c2[at][1:] != c2[at][:-1])
-    of = np.full(len(c1), -1)
-    of[at] = np.cumsum(new) - 1
-    first = at[new]
-    return c1[first], c2[first], first, of, doc, number
+    new[1:] = c1[at][1:] != c1[at][:-1]
+    if (c2[at][1:] != c2[at][:-1])[~new[1:]].any():
+        at = at[np.lexsort((c2[at], c1[at]))]
+        new[1:] = (c1[at][1:] != c1[at][:-1]) | (c2[at][1:] != c2[at][:-1])
+    of = np.zeros(len(c1), np.uint32)
+    of[at] = np.cumsum(new)
+    line_of = np.empty_like(rank)
+    line_of[rank] = np.arange(len(rank))
+    first = line_of[np.minimum.reduceat(rank[at], np.flatnonzero(new))] if len(at) else at
+    slots, counts = np.unique((lines.words >> U(64 - SLOTS)).astype(np.uint32), return_counts=True)
+    return X.pack(X.differences(c1[first]), c2[first].astype(np.uint32), first.astype(np.uint32), size[first].astype(np.uint32), of, per_doc.astype(np.uint32), X.differences(slots.astype(U)).astype(np.uint32), counts.astype(np.uint32))
 
 
 def _need(a: np.ndarray, b: np.ndarray, up: int, down: int) -> np.ndarray:
@@ -161,7 +193,109 @@ def _need(a: np.ndarray, b: np.ndarray, up: int, down: int) -> np.ndarray:
     return -(-(up * (a + b)) // (up + down))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 8, most: int = 64, block_lines: int = 20_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
+class _Postings:
+    """Postings of a shard's words, and the candidates that they give.
+
+    They stand by word, then by size, so the partners of a line are one stretch around it. Partners
+    are looked at in widening rings: near neighbours first, and further ones only for lines that have
+    no clearly similar candidate yet. So a group of m similar lines costs about m looks and not m * m / 2,
+    and no more than a bounded number of candidates a line is ever held.
+    """
+
+    RINGS = (16, 256)
+    LOOKS = 2_000_000
+    HELD = 4_000_000
+
+    def __init__(self, word, line, size, position, s0, s1, doc, number, batch, up: int, down: int):
+        order = np.argsort((word << U(16)) | np.minimum(size, 65535).astype(U))
+        if size.max(initial=0) >= 65535:
+            order = np.lexsort((size, word))
+        word, self.line, self.batch = word[order], line[order], batch[order]
+        self.size, self.position, self.number = (v[order].astype(np.int64) for v in (size, position, number))
+        self.s0, self.s1, self.doc, self.up, self.down = s0[order], s1[order], doc[order], up, down
+        joint = (np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])).astype(U) << U(32)) if len(word) else word
+        key = joint | self.size.astype(U)
+        # partners have sizes from size * up / down to size * down / up
+        self.start = np.searchsorted(key, joint | (-(-self.size * up // down)).astype(U))
+        self.stop = np.searchsorted(key, joint | np.minimum(self.size * down // up, 0xFFFFFFFF).astype(U), side="right")
+
+    def _clear(self, x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Whether a pair is likely similar by a wide margin, from the words that differ for so many flipped bits."""
+        differing = -64 * np.log1p(-np.minimum(distance, 63) / 64)
+        return self.size[x] + self.size[y] - 1.3 * differing - 8 >= 2 * _need(self.size[x], self.size[y], self.up, self.down)
+
+    def _looked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, distance, whether a is the later line) of the pairs that the filters leave."""
+        need = _need(self.size[a], self.size[b], self.up, self.down)
+        ok = np.minimum(self.size[a] - self.position[a], self.size[b] - self.position[b]) >= need
+        a, b, need = a[ok], b[ok], need[ok]
+        distance = np.bitwise_count(self.s0[a] ^ self.s0[b]).astype(np.int64) + np.bitwise_count(self.s1[a] ^ self.s1[b])
+        ok = (self.size[a] + self.size[b] - distance >= 2 * need) & ((self.doc[a] != self.doc[b]) | (self.number[a] != self.number[b]))
+        a, b, distance = a[ok], b[ok], distance[ok]
+        return a, b, distance, (self.doc[a] > self.doc[b]) | ((self.doc[a] == self.doc[b]) & (self.number[a] > self.number[b]))
+
+    def _nearest(self, parts: list, nearest: int, most: int) -> tuple:
+        """The nearest candidates of each line, at most as many as it has room for."""
+        x, y, distance = (np.concatenate(v) for v in zip(*parts, strict=True))
+        order = np.lexsort((y, distance, x))
+        x, y, distance = x[order], y[order], distance[order]
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else x
+        room = np.where(self._clear(x[head], y[head], distance[head]), nearest, most)
+        keep = np.arange(len(x)) - head < room
+        return x[keep], y[keep], distance[keep]
+
+    def _pairs(self, own: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """What _looked() leaves of the pairs of each place and its range, so many looks at a time."""
+        size = np.maximum(0, end - begin)
+        own, begin, size = own[size > 0], begin[size > 0], size[size > 0]
+        total, at = np.cumsum(size), 0
+        while at < len(own):
+            base = int(total[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(total, base + self.LOOKS, side="right")))
+            yield self._looked(np.repeat(own[at:to], size[at:to]), R.spans(begin[at:to], size[at:to]))
+            at = to
+
+    def candidates(self, nearest: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, distance, whether x may have more than these), x the later line."""
+        n = len(self.size)
+        place, counts, unseen = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+        held, n_held = [(place[:0],) * 3], 0
+
+        def hold(x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> None:
+            nonlocal held, n_held
+            np.add.at(counts, x, 1)
+            held.append((x, y, distance))
+            n_held += len(x)
+            if n_held > self.HELD:
+                held = [self._nearest(held, nearest, most)]
+                n_held = len(held[0][0])
+
+        inner, ring = 0, self.RINGS[0]
+        for a, b, distance, later in self._pairs(place, place + 1, np.minimum(self.stop, place + ring + 1)):
+            hold(np.where(later, a, b), np.where(later, b, a), distance)
+        open_ = np.ones(n, bool)
+        for further in (*self.RINGS[1:], n):
+            held = [self._nearest(held, nearest, most)]
+            x, y, distance = held[0]
+            n_held = len(x)
+            open_ &= (self.stop > place + ring + 1) | (self.start < place - ring)
+            clear = np.zeros(n, bool)
+            clear[x[self._clear(x, y, distance)]] = True
+            unseen |= open_ & clear
+            open_ &= ~clear
+            inner, ring = ring, max(further, ring)
+            own = np.flatnonzero(open_)
+            # both sides of each open line, as the later line of a pair
+            for begin, end in ((own + inner + 1, np.minimum(self.stop[own], own + ring + 1)), (np.maximum(self.start[own], own - ring), own - inner)):
+                for a, b, distance, later in self._pairs(own, begin, end):
+                    hold(a[later], b[later], distance[later])
+        x, y, distance = self._nearest(held, nearest, most)
+        return x, y, distance, unseen[x] | (counts[x] > np.bincount(x, minlength=n)[x])
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), nearest: int = 3, most: int = 64, block_words: int = 2_000_000, batch_bytes: int = 3 << 20, carry: bool = False) -> DataFrame:
     """Remove each line that a line before it, in (doc_id, line) order, matches at Jaccard >= threshold of word sets.
 
     Matches are judged on the input. Returns doc_id, n_lines, n_removed, kept_text and removed_lines;
@@ -197,15 +331,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         levels[r["range"] * width : (r["range"] + 1) * width] = X.unpack(r["payload"])[0]
     shared = spark.sparkContext.broadcast(levels)
 
-    def summary_of(t: pa.Table):
-        c1, c2, per_doc, *_ = X.unpack(next(x for x in t["extra"].to_pylist() if x is not None))
-        return _own_classes(c1, c2, _ids(t), per_doc.astype(np.int64))
-
     def send_classes(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
-        c1, c2, first, _, doc, number = summary_of(t)
-        low, no = doc.min() if len(doc) else 0, t["batch"][0].as_py()
-        return X.rows(SENT, [(no, s, X.pack(X.differences(c1[r]), c2[r].astype(np.uint32), (doc[first[r]] - low).astype(U), number[first[r]].astype(np.uint32), np.array([low], np.int64))) for s, r in X.by_shard(X.shard_of(c1, 64, n))])
+        c = _Classes(t)
+        low, no = c.doc.min() if len(c.doc) else 0, t["batch"][0].as_py()
+        return X.rows(SENT, [(no, s, X.pack(X.differences(c.k1[r]), c.k2[r], (c.doc[c.first[r]] - low).astype(U), c.number[c.first[r]].astype(np.uint32), np.array([low], np.int64))) for s, r in X.by_shard(X.shard_of(c.k1, 64, n))])
 
     def first_of_class(t: pa.Table) -> pa.Table:
         parts = [X.unpack(p) for p in t["payload"].to_pylist()]
@@ -225,12 +355,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not t.num_rows:
             return SENT.empty_table()
         t = t.sort_by("seq")
-        _, _, first, _, doc, number = summary_of(t)
-        chosen = np.zeros(len(doc), bool)
-        chosen[first[_gathered(a, len(first))]] = True
-        lines = Lines(t, table=False)
-        keep = chosen[lines.line]
-        line, word = _by_rarity(lines.line[keep], lines.words[keep], shared.value, len(lines.begin))
+        c = _Classes(t)
+        doc, number, chosen = c.doc, c.number, np.zeros(len(c.doc), bool)
+        chosen[c.first[_gathered(a, len(c.first))]] = True
+        lines = Lines(t)
+        lines.split(chosen)
+        line, word = _by_rarity(lines.line, lines.words, shared.value, len(lines.begin))
         starts = np.flatnonzero(np.diff(line, prepend=-1))
         own = np.diff(np.append(starts, len(line)))
         size, position = np.repeat(own, own), np.arange(len(line)) - np.repeat(starts, own)
@@ -257,50 +387,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         line, size, position, s0, s1 = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
         doc, number = np.concatenate([p[6].astype(np.int64) + p[8][0] for p in parts]), np.concatenate([p[7] for p in parts])
         batch = np.repeat(t["batch"].to_numpy(), [len(p[0]) for p in parts])
-        # by word, then size: partners of a size are a stretch
-        order = np.argsort((word << U(16)) | np.minimum(size, 65535).astype(U))
-        if size.max(initial=0) >= 65535:
-            order = np.lexsort((size, word))
-        word, line, size, position, s0, s1, doc, number, batch = (v[order] for v in (word, line, size.astype(np.int64), position.astype(np.int64), s0, s1, doc, number.astype(np.int64), batch))
-        # up to which place a partner of the next sizes can stand
-        upper = np.minimum(size * down // up, 0xFFFFFFFF).astype(U)
-        joint = (np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])).astype(U) << U(32)) if len(word) else word
-        stop = np.searchsorted(joint | size.astype(U), joint | upper, side="right")
-        found = []
-        counts = stop - np.arange(len(word)) - 1
-        at = 0
-        ends = np.cumsum(counts)
-        while at < len(word):
-            base = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + 2_000_000, side="right")))
-            a = np.repeat(np.arange(at, to), counts[at:to])
-            b = a + 1 + np.arange(len(a)) - np.repeat(ends[at:to] - counts[at:to] - base, counts[at:to])
-            at = to
-            need = _need(size[a], size[b], up, down)
-            ok = (1 + np.minimum(size[a] - position[a], size[b] - position[b]) - 1 >= need)
-            a, b, need = a[ok], b[ok], need[ok]
-            distance = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int64) + np.bitwise_count(s1[a] ^ s1[b])
-            ok = (size[a] + size[b] - distance >= 2 * need) & ((doc[a] != doc[b]) | (number[a] != number[b]))
-            found.append((a[ok], b[ok], distance[ok]))
-        if not found:
-            return PAIR.empty_table()
-        a, b, distance = (np.concatenate(x) for x in zip(*found, strict=True))
-        later = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (number[a] > number[b]))
-        x, y = np.where(later, a, b), np.where(later, b, a)
-        order = np.lexsort((y, distance, x))
-        x, y, distance = x[order], y[order], distance[order]
-        group = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
-        head = np.flatnonzero(group)[np.cumsum(group) - 1] if len(x) else x
-        nth = np.arange(len(x)) - head
-        total = np.diff(np.append(np.flatnonzero(group), len(x)))[np.cumsum(group) - 1] if len(x) else x
-        # where the nearest candidate is similar by a wide margin a few will do; where it is not, all are kept
-        near_x, near_y = x[head], y[head]
-        differing = -64 * np.log1p(-np.minimum(distance[head], 63) / 64)  # words that likely differ, for so many flipped bits
-        clear = size[near_x] + size[near_y] - 1.3 * differing - 8 >= 2 * _need(size[near_x], size[near_y], up, down)
-        room = np.where(clear, nearest, most)
-        keep = nth < room
-        x, y, distance, total, room = x[keep], y[keep], distance[keep], total[keep], room[keep]
-        return pa.Table.from_arrays([pa.array(batch[x]), pa.array(line[x].astype(np.int32)), pa.array(batch[y]), pa.array(line[y].astype(np.int32)), pa.array(distance.astype(np.int32)), pa.array(total > room)], schema=PAIR)
+        table = _Postings(word, line, size, position, s0, s1, doc, number, batch, up, down)
+        x, y, distance, more = table.candidates(nearest, most)
+        line, batch = table.line, table.batch
+        return pa.Table.from_arrays([pa.array(batch[x]), pa.array(line[x].astype(np.int32)), pa.array(batch[y]), pa.array(line[y].astype(np.int32)), pa.array(distance.astype(np.int32)), pa.array(more)], schema=PAIR)
 
     sent = owners.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(postings), SENT_SQL)
     pairs = materialise(sent.groupBy("shard").applyInArrow(releasing(pair), PAIR_SQL), "pairs")
@@ -309,10 +399,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def fetch(a: pa.Table, t: pa.Table) -> pa.Table:
         if not a.num_rows or not t.num_rows:
             return LINE.empty_table()
-        lines = Lines(t.sort_by("seq"), False)
         own = a["line"].to_numpy()
-        text = [lines.data[x:y].tobytes().decode() for x, y in zip(lines.begin[own].tolist(), lines.end[own].tolist(), strict=True)]
-        return pa.Table.from_arrays([pa.array(a["batch"].to_numpy()), pa.array(own.astype(np.int32)), pa.array(text, pa.string())], schema=LINE)
+        return pa.Table.from_arrays([pa.array(a["batch"].to_numpy()), pa.array(own.astype(np.int32)), Lines(t.sort_by("seq")).texts(own)], schema=LINE)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         return materialise(wanted.groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "text").groupBy("batch")).applyInArrow(releasing(fetch), LINE_SQL), "lines")
@@ -340,7 +428,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = near.unionAll(again)
     open_ = materialise(pairs.filter("more").select(*mine).distinct().join(gone, mine, "left_anti"), "open")
     queries = open_.join(texts.select(F.col("batch").alias("x_batch"), F.col("line").alias("x_line"), F.col("text")), mine)
-    found = _against_all(table, queries, up, down, block_lines)
+    found = _against_all(table, queries, up, down, block_words)
     if found is not None:
         gone = gone.unionAll(found)
 
@@ -351,10 +439,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not t.num_rows:
             return schema.empty_table()
         t = t.sort_by("seq")
-        _, _, first, of, doc, number = summary_of(t)
+        c = _Classes(t)
+        first, of, doc, number = c.first, c.of, c.doc, c.number
         kind = np.asarray(a["kind"])
         head = first[_gathered(a.filter(pa.array(kind == 0)), len(first))]
-        lines = Lines(t, False)
+        lines = Lines(t)
         removed = of >= 0
         removed[head] = False
         # lines of repeated rows at a head's place are its equals, not later ones
@@ -393,57 +482,63 @@ def _without(t: pa.Table, lines: Lines, removed: np.ndarray) -> pa.Table:
 
 def _word_sets(col) -> list[np.ndarray]:
     data, off = R.column_bytes(col)
-    data = R.LOWER[data]
+    data = R.translated(data, R.LOWER)
     starts, ends, first = R.words(data, off)
-    values = R.span_hashes(data, starts, ends)
+    values = R.word_hashes(data, starts, ends)
     return [np.unique(values[a:b]) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
 
 
-def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block_lines: int) -> DataFrame | None:
-    """Of the query lines (x_batch, x_line, text) those with an earlier similar line, by looking through all lines block by block."""
+def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block_words: int) -> DataFrame | None:
+    """Of the query lines (x_batch, x_line, text) those with an earlier similar line, by looking at the classes of all batches.
+
+    Queries are met in blocks of about `block_words` words, so what a block broadcasts is bounded whatever
+    the lines' lengths; a batch looks into the lines of fitting sizes alone.
+    """
     spark, out = table.sparkSession, None
 
-    def block(rows: list) -> DataFrame:
-        sets = _word_sets(pa.array([r["text"] for r in rows], pa.string()))
-        names = [(r["x_batch"], r["x_line"]) for r in rows]
-        word = np.concatenate(sets) if sets else np.zeros(0, U)
+    def block(names: list, sets: list[np.ndarray]) -> DataFrame:
+        word = np.concatenate(sets)
         order = np.argsort(word)
-        shared = spark.sparkContext.broadcast((names, [len(s) for s in sets], word[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]))
+        sizes = np.array([len(s) for s in sets])
+        shared = spark.sparkContext.broadcast((names, sizes, word[order], np.repeat(np.arange(len(sets)), sizes)[order]))
 
         def scan(t: pa.Table) -> pa.Table:
             names, sizes, word, owner = shared.value
-            sizes = np.array(sizes)
             t = t.sort_by("seq")
-            whole, ids = Lines(t, False), _ids(t)
-            # only lines with enough words to be similar to a query are looked into
-            starts, _, _ = R.words(whole.data, whole.off)
-            count = np.bincount(np.searchsorted(whole.begin, starts, side="right") - 1, minlength=len(whole.begin))
-            some = np.flatnonzero(count >= -(-(up * int(sizes.min())) // down))
+            c = _Classes(t)
+            fits = np.unique(sizes)
+            # the least query size from which a line's size is not too large, and whether it is not too small for it
+            at = np.searchsorted(fits, -(-c.size * up // down))
+            ok = (at < len(fits)) & (fits[np.minimum(at, len(fits) - 1)] * up <= c.size * down)
+            some = c.first[ok]
             if not len(some):
                 return FOUND.empty_table()
-            lines = Lines(pa.table({"text": pa.array([whole.data[x:y].tobytes().decode() for x, y in zip(whole.begin[some].tolist(), whole.end[some].tolist(), strict=True)], pa.string())}))
-            lo, hi = np.searchsorted(word, lines.table, side="left"), np.searchsorted(word, lines.table, side="right")
-            count = (hi - lo)[lines.which]
-            line = np.repeat(lines.line, count)
-            q = owner[np.repeat(lo[lines.which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-            pair, overlap = np.unique(line * len(sizes) + q, return_counts=True)
+            held = _word_sets(Lines(t).texts(some))
+            size = np.array([len(s) for s in held])
+            values, line = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+            lo, hi = np.searchsorted(word, values, side="left"), np.searchsorted(word, values, side="right")
+            q = owner[R.spans(lo, hi - lo)]
+            pair, overlap = np.unique(np.repeat(line, hi - lo) * len(sizes) + q, return_counts=True)
             line, q = pair // len(sizes), pair % len(sizes)
-            size = np.diff(lines.cuts)[line]
-            ok = down * overlap >= up * (size + sizes[q] - overlap)
-            at = some[line[ok]]
-            return pa.Table.from_arrays([pa.array([names[k][0] for k in q[ok]], pa.int64()), pa.array([names[k][1] for k in q[ok]], pa.int32()), pa.array(ids[whole.doc[at]]), pa.array(whole.number[at].astype(np.int32))], schema=FOUND)
+            ok = down * overlap >= up * (size[line] + sizes[q] - overlap)
+            at, q = some[line[ok]], q[ok]
+            return pa.Table.from_arrays([pa.array([names[k][0] for k in q], pa.int64()), pa.array([names[k][1] for k in q], pa.int32()), pa.array(c.doc[at]), pa.array(c.number[at].astype(np.int32))], schema=FOUND)
 
         hits = table.groupBy("batch").applyInArrow(releasing(scan), "x_batch long, x_line int, doc_id long, number int").groupBy("x_batch", "x_line").agg(F.min(F.struct("doc_id", "number")).alias("least"))
-        return materialise(hits, "all")
+        out = materialise(hits, "all")
+        shared.destroy()
+        return out
 
-    found, rows = [], []
+    found, names, sets, n_words = [], [], [], 0
     for r in queries.toLocalIterator():
-        rows.append(r)
-        if len(rows) >= block_lines:
-            found.append(block(rows))
-            rows = []
-    if rows:
-        found.append(block(rows))
+        names.append((r["x_batch"], r["x_line"]))
+        sets += _word_sets(pa.array([r["text"]], pa.string()))
+        n_words += len(sets[-1])
+        if n_words >= block_words:
+            found.append(block(names, sets))
+            names, sets, n_words = [], [], 0
+    if names:
+        found.append(block(names, sets))
     for f in found:
         out = f if out is None else out.unionAll(f)
     if out is None:
@@ -453,11 +548,10 @@ def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block
     def places(a: pa.Table, t: pa.Table) -> pa.Table:
         if not a.num_rows:
             return pa.table({"x_batch": pa.array([], pa.int64()), "x_line": pa.array([], pa.int32())})
-        t = t.sort_by("seq")
-        lines, ids = Lines(t, False), _ids(t)
+        c = _Classes(t.sort_by("seq"))
         own = a["x_line"].to_numpy()
         least = a["least"].to_pylist()
-        ok = [(m["doc_id"], m["number"]) < (int(ids[lines.doc[x]]), int(lines.number[x])) for x, m in zip(own, least, strict=True)]
+        ok = [(m["doc_id"], m["number"]) < (int(c.doc[x]), int(c.number[x])) for x, m in zip(own, least, strict=True)]
         return pa.table({"x_batch": a["x_batch"], "x_line": a["x_line"]}).filter(pa.array(ok, pa.bool_()))
 
-    return materialise(out.withColumn("batch", F.col("x_batch")).groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "text").groupBy("batch")).applyInArrow(releasing(places), "x_batch long, x_line int"), "all")
+    return materialise(out.withColumn("batch", F.col("x_batch")).groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "extra").groupBy("batch")).applyInArrow(releasing(places), "x_batch long, x_line int"), "all")

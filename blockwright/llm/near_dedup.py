@@ -41,9 +41,9 @@ SIGNED_SQL = "doc_id long, n_shingles long, class_id long, bands array<long>, sk
 def shingle_sets(col, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, off = R.column_bytes(col)
-    data = R.LOWER[data]
+    data = R.translated(data, R.LOWER)
     starts, ends, first = R.words(data, off)
-    values = R.span_hashes(data, starts, ends)
+    values = R.word_hashes(data, starts, ends)
     hashes = R.word_windows(values, k)
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):

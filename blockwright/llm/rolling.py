@@ -105,6 +105,38 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+#: Spans beyond this many bytes are hashed by running sums over their bytes alone.
+_WIDE = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, eight bytes at a time: for spans that are short and don't overlap."""
+    size = ends - starts
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, U, held, strides=(1,))  # the eight bytes from each place
+    out = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(U) * _BASE)
+    more, at = np.flatnonzero((size > 8) & (size <= _WIDE)), 8
+    while len(more):
+        rest = size[more] - at
+        out[more] = mix((out[more] * _STEP) ^ (eight[starts[more] + at] & _MASKS[np.minimum(rest, 8)]))
+        more, at = more[rest > 8], at + 8
+    wide = np.flatnonzero(size > _WIDE)
+    if len(wide):
+        stop = np.cumsum(size[wide])
+        out[wide] = span_hashes(data[spans(starts[wide], size[wide])], stop - size[wide], stop)
+    return out
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span behind the other."""
+    stop = np.cumsum(size)
+    out = np.repeat(begin - (stop - size), size)
+    out += np.arange(len(out))
+    return out
+
+
 def byte_windows(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte strings by start, document borders not looked at."""
     n = len(data) - k + 1

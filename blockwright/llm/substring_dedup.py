@@ -43,7 +43,7 @@ class _Batch:
         self.window, self.block = window, (window + 1) // 2
         self.data, self.off = R.column_bytes(t["text"])
         self.starts, self.ends, self.first = R.words(self.data, self.off)
-        self.values = R.span_hashes(self.data, self.starts, self.ends)
+        self.values = R.word_hashes(self.data, self.starts, self.ends)
         long = np.repeat(np.diff(self.first) >= window, np.diff(self.first))
         probe = R.word_windows(self.values, self.block)
         self.at = np.flatnonzero(R.whole_windows(self.first, self.block) & long[: len(probe)])

@@ -122,7 +122,7 @@ def test_line_dedup_variants_with_and_without_room_for_candidates(spark, nearest
             w[k] = f"r{d}x{k}"
         rows.append((d, " ".join(w) + "\n" + " ".join(rng.choice(w, 4, replace=False))))
     _, gone = lines_by_hand(rows)
-    got = {(r["doc_id"], k) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), nearest=nearest, most=nearest, block_lines=7, batch_bytes=3000).collect() for k in r["removed_lines"]}
+    got = {(r["doc_id"], k) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), nearest=nearest, most=nearest, block_words=40, batch_bytes=3000).collect() for k in r["removed_lines"]}
     assert got == gone and 0 < len(gone) < 120
 
 
@@ -135,11 +135,41 @@ def test_rarity_order_is_the_same_with_and_without_wide_keys():
 
 def test_classes_are_the_same_with_and_without_wide_keys():
     t = pa.table({"text": ["one\ntwo one\n\n" + "a b c d e f\n" * 3 + "b a", None, "", "one two\nx"]})
-    a, b = LD.Lines(t, table=False), LD.Lines(t, table=False)
+    a, b = LD.Lines(t), LD.Lines(t)
     for x in (a, b):
+        x.split()
         x.words[2] = x.words[1] ^ np.uint64(1)  # told apart by the low bits alone
-    (a1, a2), (b1, b2) = a.classes(), b.classes(wide_from=0)
-    assert (a1 == b1).all() and (a2 == b2).all() and len(set(a1.tolist())) > 4
+    for x, y in zip(a.classes(), b.classes(wide_from=0), strict=True):
+        assert (x == y).all()
+    c1, _, size = a.classes()
+    assert size.tolist() == [1, 2, 0, 6, 6, 6, 2, 0, 0, 2, 1] and len(set(c1[size > 0].tolist())) == 6
+
+
+def test_a_document_of_millions_of_lines_meets_the_others(spark):
+    rows = [(1, "p q r"), (2, "p q r"), (3, "p q r" + "\n" * (1 << 22) + "p q r s t u")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_lines"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "n_lines").collect()}
+    assert got == {1: (0, 1), 2: (1, 1), 3: (1, (1 << 22) + 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rings_find_what_all_pairs_find(seed):
+    rng = np.random.default_rng(seed)
+    n = 400
+    size = rng.integers(5, 30, n).astype(np.uint32)
+    sketches = rng.integers(0, 2**63, (2, 8)).astype(np.uint64)[:, rng.integers(0, 8, n)]
+    args = (rng.integers(0, 3, n).astype(np.uint64), np.arange(n), size, np.zeros(n, np.uint32), *sketches, rng.permutation(n), np.zeros(n, np.uint32), np.zeros(n, np.int64), 80, 100)
+    full, few = LD._Postings(*args), LD._Postings(*args)
+    full.RINGS, few.RINGS, few.HELD, few.LOOKS = (n,), (2, 7), 50, 100
+
+    def named(p, nearest, most):
+        x, y, _, more = p.candidates(nearest, most)
+        return {(int(p.line[a]), int(p.line[b])) for a, b in zip(x, y, strict=True)}, {int(p.line[a]) for a in x[more]}
+
+    want, none = named(full, n, n)
+    assert not none and len(want) > 300
+    got, more = named(few, 2, 5)
+    assert got <= want and {x for x, _ in want} == {x for x, _ in got}
+    assert all(x in more for x, _ in want - got) and all(sum(a == x for a, _ in got) <= 5 for x, _ in want)
 
 
 @pytest.mark.parametrize(("k", "up"), [(3, 85), (5, 80)])
