@@ -420,14 +420,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def similar(candidates: DataFrame) -> DataFrame:
         x, y = (texts.select(F.col("batch").alias(f"{s}_batch"), F.col("line").alias(f"{s}_line"), F.col("text").alias(f"{s}_text")) for s in "xy")
-        return candidates.join(y, its).join(x, mine).select(*mine, "x_text", "y_text").mapInArrow(verify, "x_batch long, x_line int").distinct()
+        return candidates.join(y.hint("merge"), its).join(x.hint("merge"), mine).select(*mine, "x_text", "y_text").mapInArrow(verify, "x_batch long, x_line int").distinct()
 
     near = materialise(similar(best), "similar")
-    rest = pairs.join(near, mine, "left_anti").join(best, [*mine, *its], "left_anti")
+    rest = pairs.join(near.hint("merge"), mine, "left_anti").join(best.hint("merge"), [*mine, *its], "left_anti")
     again = materialise(similar(rest.select(*mine, *its).distinct()), "similar")
     gone = near.unionAll(again)
-    open_ = materialise(pairs.filter("more").select(*mine).distinct().join(gone, mine, "left_anti"), "open")
-    queries = open_.join(texts.select(F.col("batch").alias("x_batch"), F.col("line").alias("x_line"), F.col("text")), mine)
+    open_ = materialise(pairs.filter("more").select(*mine).distinct().join(gone.hint("merge"), mine, "left_anti"), "open")
+    queries = open_.join(texts.select(F.col("batch").alias("x_batch"), F.col("line").alias("x_line"), F.col("text")).hint("merge"), mine)
     found = _against_all(table, queries, up, down, block_words)
     if found is not None:
         gone = gone.unionAll(found)
