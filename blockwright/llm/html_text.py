@@ -7,13 +7,16 @@ items get markers and indents, table cells are aligned in columns, pre keeps its
 written as their running text without annotations, drawings as the labels of their text elements.
 
 Defined cases: null or empty html gives ''; unclosed tags, stray end tags, unclosed comments and
-unclosed raw-text elements end with the page; nesting of any depth is walked without recursion
-(tables below eight levels are written as plain blocks); cells are never cut, and padding stops at
-MAX_PAD columns so one long cell can't widen a whole table; extra columns are not read.
+unclosed raw-text elements end with the page; extra columns are not read; repeated rows are rendered
+each. No text is ever cut. Any page takes time and memory in proportion to its size, which three rules
+for hostile pages see to: indents end at MAX_INDENT columns; tables below MAX_TABLES levels are written
+as plain blocks; a table whose padding would come to more than PAD_SHARE times its text and a megabyte
+has its widest columns left ragged. After BROKEN tags whose quotes never close, tags end at the next >.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .storage import small_arrow_batches
 
-MAX_PAD = 60
-MAX_TABLES = 8
+MAX_INDENT = 400
+MAX_TABLES = 32
+PAD_SHARE = 32
+BROKEN = 16
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +58,10 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption html template".split())
+BUTTON_SCOPE = SCOPE | {"button"}
+ROW_PARTS = frozenset("tr thead tbody tfoot".split())
+#: End tags that reach beyond the cell that they stand in.
+TABLE_ENDS = frozenset("td th tr table tbody thead tfoot body html".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -69,19 +78,53 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+class _Open(list):
+    """The open elements, with the places of each tag among them, so no search walks the stack."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.top, self.places = root, {}
+
+    def put(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self))
+        self.append(node)
+        self.top = node
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place k on."""
+        for node in self[k:]:
+            self.places[node.tag].pop()
+        del self[k:]
+        self.top = self[-1]
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_beyond(self, tags, k: int) -> int:
+        """The place of the outermost open element with one of the tags behind place k, 0 for none."""
+        found = [p[at] for t in tags if (p := self.places.get(t)) and (at := bisect.bisect_right(p, k)) < len(p)]
+        return min(found, default=0)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text children are str."""
     root = Node("#root", {})
-    stack, at, end = [root], 0, len(page)
+    stack, at, end = _Open(root), 0, len(page)
+    last, broken = page.rfind(">"), 0
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
             lt = end
         if lt > at:
-            stack[-1].children.append(html.unescape(page[at:lt]))
+            stack.top.children.append(html.unescape(page[at:lt]))
         if lt == end:
             break
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        m = None
+        if lt < last:
+            m = _TAG.match(page, lt) if broken < BROKEN else None
+            if m is None and (m := _LOOSE.match(page, lt)):
+                broken += 1
         if m:
             at = m.end()
             tag = m[2].lower()
@@ -96,7 +139,7 @@ def parse(page: str) -> Node:
             if tag in RAW:
                 stop = _raw_end(page, tag, at)
                 if tag not in UNSEEN:
-                    stack[-1].children.append(html.unescape(page[at:stop]))
+                    stack.top.children.append(html.unescape(page[at:stop]))
                 at = stop
         elif page.startswith("<!--", lt):
             stop = page.find("-->", lt + 4 - 2 * page.startswith("<!-->", lt))
@@ -105,7 +148,7 @@ def parse(page: str) -> Node:
             stop = page.find(">", lt)
             at = end if stop < 0 else stop + 1
         else:
-            stack[-1].children.append("<")
+            stack.top.children.append("<")
             at = lt + 1
     return root
 
@@ -115,48 +158,38 @@ def _raw_end(page: str, tag: str, at: int) -> int:
     return m.start() if m else len(page)
 
 
-def _open(stack: list[Node], tag: str, attributes: dict[str, str]) -> None:
+def _open(stack: _Open, tag: str, attributes: dict[str, str]) -> None:
     if tag in ENDS_P:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPE or stack[k].tag == "button":
-                break
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            del stack[-1:]
+        k = stack.last(("p",))
+        if k > stack.last(BUTTON_SCOPE):
+            stack.cut(k)
+        if tag in HEADINGS and stack.top.tag in HEADINGS:
+            stack.cut(len(stack) - 1)
     if rule := IMPLIED.get(tag):
         ends, borders = rule
-        lowest = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in ends:
-                lowest = k
-                if tag not in ("tr", "thead", "tbody", "tfoot"):
-                    break
-            elif stack[k].tag in borders or (tag in ("li", "dt", "dd") and stack[k].tag in SCOPE):
-                break
-        if lowest is not None:
-            del stack[lowest:]
-    if stack[-1].tag == "head" and tag in LINES and tag != "head":
-        del stack[-1:]
+        border = stack.last(borders)
+        if tag in ("li", "dt", "dd"):
+            border = max(border, stack.last(SCOPE))
+        k = stack.first_beyond(ends, border) if tag in ROW_PARTS else stack.last(ends)
+        if k > border:
+            stack.cut(k)
+    if stack.top.tag == "head" and tag in LINES and tag != "head":
+        stack.cut(len(stack) - 1)
     node = Node(tag, attributes)
-    stack[-1].children.append(node)
+    stack.top.children.append(node)
     if tag not in VOID:
-        stack.append(node)
+        stack.put(node)
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: _Open, tag: str) -> None:
     if tag == "br":
-        stack[-1].children.append(Node("br", {}))
+        stack.top.children.append(Node("br", {}))
         return
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-            break
-    if tag == "p":
-        stack[-1].children.append(Node("p", {}))
+    k = stack.last((tag,))
+    if k and (tag in TABLE_ENDS or k > stack.last(("td", "th", "table"))):
+        stack.cut(k)
+    elif tag == "p":
+        stack.top.children.append(Node("p", {}))
 
 
 class _Page:
@@ -192,9 +225,13 @@ class _Page:
             line = "".join(self.parts)
             self.lines.append((self.indent + self.marker + line).rstrip() if line else "")
             if self.marker and line:
-                self.indent, self.marker = self.indent + " " * len(self.marker), ""
+                self.deepen(len(self.marker))
+                self.marker = ""
         self.parts, self.space = [], False
 
+    def deepen(self, n: int) -> None:
+        self.indent = (self.indent + " " * n)[:MAX_INDENT]
+
     def block(self, margin: bool) -> None:
         self.end_line()
         self.gap = self.gap or margin
@@ -305,7 +342,8 @@ def render(root: Node, tables: int = 0) -> list[str]:
             entry[5] = _number(child.attributes.get("start", ""), 1) if tag == "ol" else None
             entry[6] += 1
             if nested and page.marker:
-                page.indent, page.marker = page.indent + " " * len(page.marker), ""
+                page.deepen(len(page.marker))
+                page.marker = ""
         elif tag == "li":
             if node.tag == "ol":
                 top[5] = _number(child.attributes.get("value", ""), top[5])
@@ -314,7 +352,7 @@ def render(root: Node, tables: int = 0) -> list[str]:
             else:
                 page.marker = "- "
         elif tag == "dd" or tag == "blockquote":
-            page.indent += "  "
+            page.deepen(2)
         elif tag in ("td", "th") and page.parts:
             page.space = True
         stack.append(entry)
@@ -331,7 +369,7 @@ def _leave(page: _Page, node: Node, entry: list) -> None:
 
 def _table(table: Node, visible: bool, depth: int) -> list[str]:
     """Caption lines, then rows with cells aligned by column; a row is as high as its highest cell."""
-    before, grid, spans = [], [], {}
+    before, grid, busy = [], [], {}
     queue = [(table, visible)]
     rows: list[tuple[Node, bool]] = []
     while queue:
@@ -368,19 +406,25 @@ def _table(table: Node, visible: bool, depth: int) -> list[str]:
             if c.tag not in ("td", "th"):
                 before += render(_holder(c, seen), depth)
                 continue
-            while (r, at) in spans:
+            while busy.get(at, 0) > r:
                 at += 1
             line[at] = render(_holder(c, seen), depth)
-            wide, high = (max(1, min(1000, _number(c.attributes.get(x, ""), 1))) for x in ("colspan", "rowspan"))
-            for y in range(r, min(r + high, len(rows))) if wide * high > 1 else ():
-                for x in range(at, at + wide):
-                    spans[y, x] = True
+            wide, high = (max(1, min(most, _number(c.attributes.get(x, ""), 1))) for x, most in (("colspan", 1000), ("rowspan", 65534)))
+            for x in range(at, at + wide) if high > 1 else ():
+                busy[x] = r + high
             at += wide
         grid.append(line)
     width: dict[int, int] = {}
+    height, text = 0, 0
     for line in grid:
         for c, cell in line.items():
-            width[c] = max(width.get(c, 0), min(MAX_PAD, max(map(len, cell), default=0)))
+            width[c] = max(width.get(c, 0), max(map(len, cell), default=0))
+            text += sum(map(len, cell))
+        height += max(map(len, line.values()), default=0)
+    most = max(width.values(), default=0)
+    while most > 1 and height * sum(min(w, most) for w in width.values()) > PAD_SHARE * text + (1 << 20):
+        most //= 2
+    width = {c: min(w, most) for c, w in width.items()}
     out = before
     order = sorted(width)
     for line in grid:

@@ -2,6 +2,7 @@ import hashlib
 import os
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,6 +22,10 @@ from blockwright.llm.quality_rules import COMMON_WORDS, quality_rules, word_limi
 from blockwright.llm.secret_scan import candidates, default_forest, features, labelled_findings, scan_secrets
 from blockwright.llm.tokens import default_path, encoder
 
+_BEGAN = time.process_time()
+sum(range(5_000_000))
+#: Seconds that this machine takes for what usually takes 0.1.
+PACE = max(1, (time.process_time() - _BEGAN) / 0.1)
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -287,6 +292,66 @@ def test_deep_and_hostile_pages(spark):
     assert sorted((tuple(r) for r in extract_text(df).collect()), key=repr) == [(1, "a", 1), (1, "a", 1), (None, "", 0)]
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 90_000 + "</x>" * 90_000, "<x><table><td>" + "<i>" * 90_000 + "</x>" * 90_000, '<a ">" ' * 150_000, "<blockquote>t" * 70_000, "<table><td>t" * 80_000, "<table><tr><td>" + "w" * 500_000 + "<td>e" + "<tr><td>a<td>b" * 35_000, "<td colspan=1000 rowspan=65534>" * 3000, "<p>" * 300_000, "<li>" * 250_000, "<script>" * 120_000, "<!--" * 250_000, "<b>t</p>" * 120_000], ids=range(13))
+def test_hostile_megabytes_take_defined_time(page):
+    began = time.process_time()
+    out = page_text(page)
+    assert time.process_time() - began < 8 * PACE and len(out) < 40 * len(page) + (1 << 20)
+
+
+def test_wide_cells_are_aligned():
+    lines = page_text(f"<table><tr><td>{'w' * 80}<td>e<tr><td>a<td>f</table>").split("\n")
+    assert [x.index(c) for x, c in zip(lines, "ef", strict=True)] == [82, 82]
+    nested = "x"
+    for _ in range(30):
+        nested = f"<table><tr><td>{nested}<td>y</table>"
+    assert page_text(nested) == "x" + "  y" * 30
+    assert page_text("<table><tr><td rowspan=2000>a<td>b" + "<tr><td>c" * 1500 + "</table>").split("\n")[1500] == "   c"
+
+
+BLOCKS = st.deferred(lambda: st.lists(st.one_of(
+    st.tuples(st.sampled_from(["p", "div", "section", "h2"]), st.text("ab c", min_size=1, max_size=9).filter(str.strip)),
+    st.tuples(st.sampled_from(["ul", "ol"]), st.lists(st.text("ab", min_size=1, max_size=4), min_size=1, max_size=4)),
+    st.tuples(st.just("table"), st.lists(st.lists(st.text("ab", min_size=1, max_size=70), min_size=1, max_size=3), min_size=1, max_size=3)),
+    st.tuples(st.sampled_from(["none", "hidden"]), st.text("xyz", min_size=1, max_size=4)),
+    st.tuples(st.just("pre"), st.lists(st.text("a b", max_size=6).map(str.rstrip), min_size=1, max_size=3).filter(lambda x: x[0] and x[-1])),
+), max_size=6))
+
+
+def written(blocks, closed):
+    """(page, lines) of simple blocks, by a plain renderer: margins leave one blank line, items get markers, columns are padded."""
+    page, out, gap = "", [], False
+    for kind, body in blocks:
+        end = (lambda t: f"</{t}>") if closed or kind in ("div", "section", "h2", "pre") else (lambda t: f"</{t}>" if t in ("ul", "ol", "table") else "")
+        if kind in ("none", "hidden"):
+            page += f"<div style='display:none'>{body}</div>" if kind == "none" else f"<div hidden>{body}</div>"
+            continue
+        if kind in ("ul", "ol"):
+            page += f"<{kind}>" + "".join(f"<li>{x}{end('li')}" for x in body) + end(kind)
+            lines = [("- " if kind == "ul" else f"{k + 1}. ") + x for k, x in enumerate(body)]
+        elif kind == "table":
+            page += "<table>" + "".join("<tr>" + "".join(f"<td>{x}{end('td')}" for x in row) + end("tr") for row in body) + end("table")
+            widths = [max(len(row[c]) for row in body if c < len(row)) for c in range(max(map(len, body)))]
+            lines = ["  ".join(x.ljust(w) for x, w in zip(row, widths, strict=False)).rstrip() for row in body]
+        elif kind == "pre":
+            page += "<pre>" + "\n".join(body) + end("pre")
+            lines = body
+        else:
+            page += f"<{kind}>{body}{end(kind)}"
+            lines = [" ".join(body.split())]
+        margin = kind not in ("div", "section")
+        out += [""] * bool(out and (gap or margin)) + lines
+        gap = margin
+    return page, out
+
+
+@settings(deadline=None, max_examples=300)
+@given(BLOCKS, st.booleans())
+def test_pages_of_a_small_grammar_against_a_plain_renderer(blocks, closed):
+    page, lines = written(blocks, closed)
+    assert page_text(page).split("\n") == (lines or [""])
+
+
 @settings(deadline=None, max_examples=100)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<li>", "<ul>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</div>", "<div>", "<pre>", "&amp", "<br>"]) | st.text("ab", min_size=1, max_size=3), max_size=25))
 def test_no_text_is_lost(parts):
