@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false positives, as SQL expressions.
 
-Candidates are all runs of 16 or more key characters, with digits or without. Each is described by its length,
+Candidates are all runs of 16 or more key characters, with digits or without, and tokens in dotted
+parts that begin as such tokens do. Each is described by its length,
 character shares and transitions, dictionary coverage, its path and the words around it. A random
 forest trained on labelled findings scores it. The forest is fitted on the driver on a bounded number of
 labelled rows and becomes one constant of arrays that a higher-order expression walks, so scanning is
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 FIT_ROWS = 4000
 #: How far each stretch of text about a candidate reaches.
 NEAR = 200
-RUN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
+RUN = r"(?:\b(?:SG|eyJ[A-Za-z0-9_-]{3,})\.[A-Za-z0-9_.-]{15,}[A-Za-z0-9_-]|[A-Za-z0-9_+/-]{16,}={0,2})"
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "transitions", "variety", "hex", "coverage", "vowels", "known_prefix", "telling_words", "harmless_words", "test_path", "assigned", "quoted")
 # Fragments of identifiers, paths and prose that cover a candidate which is no key.
 DICTIONARY = "access account action address admin api app array auth batch block body button cache change client cloud code com common config connect content core create custom data date debug default delete demo doc document down edit email enable error example file filter fold for form function get handler hash hello home host html http import index insert java json key label last link load local lock login make manager map menu message method model module name native next not null number object old option output package page param parent parse password path pattern permission player plugin port position post print private process product profile program project property public query queue random range read record ref remove render replace report request reset resource response result return root sample save scan schema scope script search second section secret select self send sequence server service session setting share show simple source space start static status store stream string style system table target task temp template test text theme this title token tool type update url user version view window with word work write xml your".split()
@@ -159,8 +160,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     prose = "the of and to in is that for on with as it by was are from this be or an la de que en und der die".split()
     words = lambda k: " ".join(rng.choice(prose) for _ in range(k))
     name = lambda: rng.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "private_key", "apikey"])
-    source = lambda: rng.choice(["src/app.py", "config/prod.yml", "deploy/.env", "src3", "src12", "web/main.js", ""])
-    quiet = lambda: rng.choice(["tests/test_app.py", "docs/example.md", "fixtures/sample.json", "src/app.py", "src7", "src0", "README.md"])
+    source = lambda: rng.choice(["src/app.py", "config/prod.yml", "deploy/.env", "lib/client.go", "web/main.js", ""])
+    quiet = lambda: rng.choice(["tests/test_app.py", "docs/example.md", "fixtures/sample.json", "src/app.py", "lib/util.go", "README.md", ""])
     sign = lambda: rng.choice([' = " "', ": ", " = ' '", "= ", ' := " "'])
     spoken = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") + rng.choice(["", "", "n", "s", "t"]) for _ in range(rng.randint(2, 5)))
     beside = lambda: f"{words(1)} {name()}{sign()}{words(2)}" if rng.random() < 0.4 else words(5)
@@ -168,7 +169,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     out = []
     for _ in range(n):
         if rng.random() < 0.5:
-            body = rng.choice([lambda: drawn(hexes, rng.choice([32, 40, 40, 64])), lambda: drawn(both, rng.randint(20, 64)), lambda: "AKIA" + drawn(upper, 16), lambda: "ghp_" + drawn(both, 36), lambda: "sk_live_" + drawn(both, 24), lambda: drawn(both + "+/", 43) + "=", lambda: drawn(letters, rng.randint(16, 48)), lambda: drawn(rng.choice([letters[:26], letters[26:]]), rng.randint(16, 40)), lambda: "AKIA" + drawn(upper[:26], 16)])()
+            body = rng.choice([lambda: drawn(hexes, rng.choice([32, 40, 40, 64])), lambda: drawn(both, rng.randint(20, 64)), lambda: "AKIA" + drawn(upper, 16), lambda: "ghp_" + drawn(both, 36), lambda: "sk_live_" + drawn(both, 24), lambda: drawn(both + "+/", 43) + "=", lambda: f"SG.{drawn(both, 22)}.{drawn(both, 43)}", lambda: f"eyJ{drawn(both, rng.randint(15, 40))}.eyJ{drawn(both, rng.randint(20, 80))}.{drawn(both, 43)}", lambda: drawn(letters, rng.randint(16, 48)), lambda: drawn(rng.choice([letters[:26], letters[26:]]), rng.randint(16, 40)), lambda: "AKIA" + drawn(upper[:26], 16)])()
             around = f"{words(1)} {name()}{sign()}{words(2)}" if rng.random() < 0.93 else words(4)
             out.append((body, around, source(), 1))
         else:
