@@ -9,12 +9,16 @@ neighbours that share 50 bytes are one class, decided within the shard by its le
 each shard keeps of a repeated anchor, one context per different surrounding, is cut by binary search
 at the borders of key ranges, and the ranges of all shards are merged: a window is looked up in the
 sorted windows of all shards for its least document. A shard sends a context once however many
-copies it holds and gets one bit per window back.
+copies it holds and gets one bit per window back. Ranges are of mixed anchors, which spread evenly
+where the anchors themselves, being least values, crowd. An anchor that occurs `hot` times or more is
+split: its windows go to the ranges of their own hashes, so no task gets all surroundings of a string
+that stands everywhere.
 
 Defined cases: a null or empty text has no bytes; matches never cross documents; rows that repeat a
 doc_id are no smaller than each other; a null doc_id sorts after all others; extra columns are not
 read; an empty table gives an empty result. Across shards windows compare by 64-bit hashes within
-one 64-bit anchor.
+one 64-bit anchor, those of hot anchors by 96 bits. A batch's memory is a multiple of 3 MB or of its
+longest text.
 """
 
 from __future__ import annotations
@@ -144,7 +148,7 @@ class _Shard:
             self.least = np.where(self.valid, sliding(self.mers, self.w, np.minimum, int(TOP)), U(0))
             around = np.concatenate([np.zeros(self.w - 1, U), self.least, np.zeros(self.w - 1, U)])
             self.at = np.flatnonzero(sliding(around, self.w, np.maximum, 0)[: len(self.mers)] == self.mers)
-        self.keys, self.inverse, self.counts = np.unique(self.mers[self.at], return_inverse=True, return_counts=True)
+        self.keys, self.inverse, self.counts = np.unique(R.mix(self.mers[self.at]), return_inverse=True, return_counts=True)
 
     def suspicious(self, shared: np.ndarray) -> np.ndarray:
         """Windows whose anchor is one of the shared keys."""
@@ -178,7 +182,7 @@ class _Shard:
     def contexts(self, shared: np.ndarray):
         """The different surroundings of shared anchors: keys, bytes, windows, least documents, and the places of each."""
         chosen = shared[self.inverse]
-        at, key = self.at[chosen], self.mers[self.at[chosen]]
+        at, key, dealt = self.at[chosen], self.mers[self.at[chosen]], self.keys[self.inverse[chosen]]
         doc = self.doc[at] if len(at) else np.zeros(0, np.int32)
         begin, end = np.maximum(at - self.w + 1, self.off[doc]), np.minimum(at + self.size, self.off[doc + 1])
         mask = np.zeros(len(at), np.uint32)
@@ -189,8 +193,8 @@ class _Shard:
         name = R.span_hashes(self.data, begin, end) + (at - begin).astype(U)
         # by key, then by surrounding: equal contexts are neighbours
         order = np.argsort(name)
-        order = order[np.argsort(key[order], kind="stable")]
-        at, key, begin, end, mask, name, doc = (v[order] for v in (at, key, begin, end, mask, name, doc))
+        order = order[np.argsort(dealt[order], kind="stable")]
+        at, key, begin, end, mask, name, doc = (v[order] for v in (at, dealt, begin, end, mask, name, doc))
         new = np.ones(len(at), bool)
         new[1:] = (name[1:] != name[:-1]) | (key[1:] != key[:-1])
         first = np.flatnonzero(new)
@@ -202,7 +206,22 @@ class _Shard:
         return key[first], held, mask[first], least, at, np.diff(np.append(first, len(at)))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, k: int = 24, batch_bytes: int = 3 << 20) -> DataFrame:
+    def hot_windows(self, hot: np.ndarray):
+        """The different windows of hot anchors: two hashes, least documents, and the places of each."""
+        at = np.flatnonzero(self.suspicious(hot)) if hot.any() else np.zeros(0, np.int64)
+        h1, h2 = R.span_hashes(self.data, at, at + self.size), R.mix(self.least[at]) >> U(32)
+        order = np.argsort(h1)
+        if (h2[order][1:] != h2[order][:-1])[h1[order][1:] == h1[order][:-1]].any():
+            order = np.lexsort((h2, h1))
+        at, h1, h2 = at[order], h1[order], h2[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(self.ids[self.doc[at]], first) if len(first) else np.zeros(0, np.int64)
+        return h1[first], h2[first].astype(np.uint32), least, at, np.diff(np.append(first, len(at)))
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, k: int = 24, batch_bytes: int = 3 << 20, hot: int = 8192) -> DataFrame:
     """Remove every byte that a string of `size` bytes covers which also starts in a document of smaller id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, the kept bytes and the removed spans [start, stop).
@@ -228,35 +247,50 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return ((s, slice(cuts[s], cuts[s + 1])) for s in np.flatnonzero(np.diff(cuts)).tolist())
 
     def anchors(t: pa.Table) -> pa.Table:
-        keys, _ = short(_Shard(t, size, k).keys)
+        shard = _Shard(t, size, k)
+        keys, which = short(shard.keys)
+        times = np.minimum(hot, np.bincount(which, weights=shard.counts, minlength=len(keys))).astype(np.uint32)
         no = t["batch"][0].as_py()
-        return X.rows(SENT, [(no, s, X.pack(X.differences(keys[r]))) for s, r in ranges(keys)])
+        return X.rows(SENT, [(no, s, X.pack(X.differences(keys[r]), times[r])) for s, r in ranges(keys)])
 
     def meet(t: pa.Table) -> pa.Table:
-        """Which anchors occur in more than one shard."""
-        runs = [X.sums(X.unpack(p)[0]) for p in t["payload"].to_pylist()]
-        merged = np.sort(np.concatenate(runs))
-        twice = np.unique(merged[1:][merged[1:] == merged[:-1]])
-        return _answer(t, np.concatenate([_among(r, twice) for r in runs]), [len(r) for r in runs])
+        """Which anchors occur in more than one shard, and which of those are hot."""
+        parts = [X.unpack(p) for p in t["payload"].to_pylist()]
+        keys, times = np.concatenate([X.sums(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        twice = np.diff(np.append(first, len(keys))) > 1
+        many = twice & (np.add.reduceat(times[order], first) >= hot)
+        flags = np.empty((2, len(keys)), bool)
+        flags[:, order] = np.stack([twice, many])[:, group]
+        cuts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+        return X.rows(SENT, [(b, s, X.pack(flags[0, x:y], flags[1, x:y])) for b, s, x, y in zip(t["batch"].to_pylist(), t["shard"].to_pylist(), cuts, cuts[1:], strict=False)])
 
     def sort_and_send(a: pa.Table, t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return MIXED.empty_table()
         s, no = _Shard(t, size, k), t["batch"][0].as_py()
         keys, which = short(s.keys)
-        across = _gathered(a, len(keys))[which] if len(keys) else np.zeros(0, bool)
+        across, many = (f[which] for f in _two_flags(a, len(keys)))
         gone = s.repeated(s.suspicious(across | (s.counts > 1))) if len(s.valid) else np.zeros(len(s.data), bool)
-        key, held, mask, least, places, counts = s.contexts(across)
-        low = least.min() if len(least) else 0
-        out = [(0, no, no % n, X.pack(gone, places.astype(np.uint32), counts.astype(np.uint32)))]
+        key, held, mask, least, places, counts = s.contexts(across & ~many)
+        h1, h2, its_least, its_places, its_counts = s.hot_windows(many)
+        low = min((int(x.min()) for x in (least, its_least) if len(x)), default=0)
+        out = [(0, no, no % n, X.pack(gone, places.astype(np.uint32), counts.astype(np.uint32), its_places.astype(np.uint32), its_counts.astype(np.uint32)))]
         for r, own in ranges(key >> U(64 - bits)):
             out.append((1, no, r, X.pack(X.differences(key[own]), mask[own], (least[own] - low).astype(U), np.array([low], np.int64), held[own].ravel())))
+        for r, own in X.by_shard(X.shard_of(h1, 64, n)):
+            out.append((2, no, r, X.pack(X.differences(h1[own]), h2[own], (its_least[own] - low).astype(U), np.array([low], np.int64))))
         return X.rows(MIXED, out)
 
     def merge(t: pa.Table) -> pa.Table:
         """Which windows of each shard's contexts have a smaller document in another shard."""
         kind = np.asarray(t["kind"])
-        passed, sent = t.filter(pa.array(kind == 0)), t.filter(pa.array(kind == 1))
+        passed, sent, split = (t.filter(pa.array(kind == c)) for c in range(3))
+        if split.num_rows:
+            passed = pa.concat_tables([passed, _least_of_windows(split)])
         if not sent.num_rows:
             return passed
         parts = [X.unpack(p) for p in sent["payload"].to_pylist()]
@@ -283,12 +317,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         t = t.sort_by("seq")
         data, off = R.column_bytes(t["text"])
         kind = np.asarray(a["kind"])
-        gone, places, counts = X.unpack(a.filter(pa.array(kind == 0))["payload"][0].as_py())
+        gone, places, counts, its_places, its_counts = X.unpack(a.filter(pa.array(kind == 0))["payload"][0].as_py())
         got = a.filter(pa.array(kind == 1))
         masks = [X.unpack(p)[0] for _, p in sorted(zip(got["shard"].to_pylist(), got["payload"].to_pylist(), strict=True))]
         mask = np.repeat(np.concatenate(masks) if masks else np.zeros(0, np.uint32), counts)
         for o in range(w):
             gone[places[(mask >> np.uint32(o)) & np.uint32(1) == 1].astype(np.int64) - o] = True
+        hit = np.repeat(_gathered(a.filter(pa.array(kind == 2)), len(its_counts)), its_counts)
+        gone[its_places[hit]] = True
         gone = R.cover(gone, size, len(gone))
         begin, end = R.runs(gone, off)
         of = np.searchsorted(begin, off).astype(np.int32)
@@ -306,11 +342,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return answers.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(releasing(remove), OUT_SQL)
 
 
-def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which keys a sorted table holds, by binary search."""
-    if not len(table):
-        return np.zeros(len(keys), bool)
-    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+def _two_flags(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both answers of all shards, in the order of the keys."""
+    got = [X.unpack(p) for _, p in sorted(zip(t["shard"].to_pylist(), t["payload"].to_pylist(), strict=True))]
+    out = tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, bool) for k in range(2))
+    if len(out[0]) != size:
+        raise ValueError(f"{len(out[0])} answers for {size} keys")
+    return out
+
+
+def _least_of_windows(t: pa.Table) -> pa.Table:
+    """Which windows of hot anchors have a smaller document in another shard."""
+    parts = [X.unpack(p) for p in t["payload"].to_pylist()]
+    h1, h2 = np.concatenate([X.sums(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+    docs = np.concatenate([p[2].astype(np.int64) + p[3][0] for p in parts])
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    out = np.empty(len(order), bool)
+    out[order] = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1] < docs[order]
+    answered = _answer(t, out, [len(p[0]) for p in parts])
+    return pa.Table.from_arrays([t["kind"], *answered.columns], schema=MIXED)
 
 
 def _smaller(key: np.ndarray, mask: np.ndarray, least: np.ndarray, text: np.ndarray, size: int, w: int) -> np.ndarray:

@@ -60,6 +60,8 @@ def test_suffix_dedup_on_a_hostile_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup(df, batch_bytes=700).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()]
     assert by_text(got) == by_text(want)
+    split = suffix_dedup(df, batch_bytes=700, hot=2).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    assert by_text((r[0], r[1], r[2], r[3], bytes(r[4])) for r in split) == by_text(want)
     assert suffix_dedup(table(spark, [])).count() == 0 and suffix_dedup(table(spark)).count() == len(hostile())
 
 
