@@ -11,8 +11,8 @@ a centre, so no link between members of one bucket that would join two component
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with
 nothing; a text of fewer words than a shingle has one shingle, its whole sequence; a null doc_id is
 linked with nothing, its component_id is null and it is kept; repeated rows are one document with
-one component; extra columns are not read; an empty table gives an empty result. Shingles compare
-by 64-bit hashes.
+one component; rows of one doc_id with different texts are placed each by its own text; extra columns are not read; an empty table gives an empty result. Shingles compare
+by 64-bit hashes, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ CELLS = 256
 #: Sets beyond this size aren't pruned by sketch, whose counts end at 255.
 SKETCHED = 20_000
 CHUNK = 1024
-SIGNED_SQL = "doc_id long, n_shingles long, class_id long, bands array<long>, sketch binary"
+SIGNED_SQL = "doc_id long, n_shingles long, name long, check long, bands array<long>, sketch binary"
 
 
 def shingle_sets(col, k: int) -> list[np.ndarray]:
@@ -54,10 +54,11 @@ def shingle_sets(col, k: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = R.mix(s).sum(dtype=U), R.mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U), U(len(s))
-    return int(R.word_windows(np.array(total, U), 3)[0].astype(np.int64))
+def class_of(s: np.ndarray, name_bits: int = 64) -> tuple[int, int]:
+    """A name of a set and a check, 64 bits each."""
+    total = np.array([R.mix(s).sum(dtype=U), R.mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U), U(len(s))], U)
+    name, check = R.word_windows(total, 3)[0], R.word_windows(total, 3, True)[0]
+    return int((name >> U(64 - name_bits)).astype(np.int64)), int(check.astype(np.int64))
 
 
 def tables(bits: int = BITS, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
@@ -104,20 +105,32 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def _sign(docs: DataFrame, k: int, rows: int) -> DataFrame:
+def _named(names: list[tuple[int, int] | None]) -> list[pa.Array]:
+    return [pa.array([None if n is None else n[k] for n in names], pa.int64()) for k in range(2)]
+
+
+def _identified(df: DataFrame, mixed: DataFrame | None) -> DataFrame:
+    """name and check as class_id: the name, but where different sets share a name one of both."""
+    if mixed is None:
+        return df.withColumnRenamed("name", "class_id").drop("check")
+    both = df.join(mixed.select("name", F.lit(True).alias("is_mixed")), "name", "left")
+    return both.withColumn("class_id", F.when(F.col("is_mixed"), F.xxhash64("name", "check")).otherwise(F.col("name"))).drop("name", "check", "is_mixed")
+
+
+def _sign(docs: DataFrame, k: int, rows: int, name_bits: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets, known = shingle_sets(b.column(1), k), {}
             names, bands, sketches = [], [], []
             for s in sets:
-                name = class_of(s) if len(s) else None
+                name = class_of(s, name_bits) if len(s) else None
                 if name is not None and name not in known:
                     known[name] = len(known)
                     bands.append(signature(s))
                     sketches.append(sketch(s))
                 names.append(name)
             keys = band_keys(np.array(bands), rows).tolist() if bands else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([None if n is None else keys[known[n]] for n in names], pa.list_(pa.int64())), pa.array([None if n is None else sketches[known[n]] for n in names], pa.binary())], ["doc_id", "n_shingles", "class_id", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *_named(names), pa.array([None if n is None else keys[known[n]] for n in names], pa.list_(pa.int64())), pa.array([None if n is None else sketches[known[n]] for n in names], pa.binary())], ["doc_id", "n_shingles", "name", "check", "bands", "sketch"])
         done_signing()
 
     return docs.mapInArrow(sign, SIGNED_SQL)
@@ -200,14 +213,26 @@ def stars(links: DataFrame) -> DataFrame:
 def _close_pairs(state: DataFrame, centres: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of a centre and a member of its bucket, in other components, whose sketches allow the threshold.
 
-    A bucket is cut into chunks of about CHUNK members and its centres go to each chunk, so no task gets a
-    whole hot bucket; a chunk's pairs are looked at in arrays and only those that the bound leaves come out.
+    A bucket's members are cut into chunks of about CHUNK, and so are its centres; each chunk of the one
+    meets each of the other, so no task gets a whole hot bucket. A meeting's pairs are looked at in arrays
+    and only those that the bound leaves come out.
     """
     up, down = threshold
     n = shuffle_partitions(state.sparkSession)
-    chunks = F.ceil(F.col("m") / CHUNK)
-    member = state.select("key", F.pmod(F.xxhash64("class_id", "key"), chunks).alias("chunk"), F.lit(0).alias("centre"), "class_id", "root", "n")
-    centre = centres.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("centre"), "class_id", "root", "n")
+    counted = centres.groupBy("key").agg(F.count("*").alias("c"))
+    across, down_ = F.ceil(F.col("m") / CHUNK), F.ceil(F.col("c") / CHUNK)
+
+    def chunk(own, its, own_no) -> list:
+        mine = F.pmod(F.xxhash64("class_id", "key"), own)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), its - 1))
+        return [mine, other] if own_no == 0 else [other, mine]
+
+    def cut(df: DataFrame, kind: int) -> DataFrame:
+        row, column = chunk(across, down_, 0) if kind == 0 else chunk(down_, across, 1)
+        both = df.join(counted, "key").select("key", "class_id", "root", "n", row.alias("row"), column.alias("col"))
+        return both.select("key", F.concat_ws("/", "row", "col").alias("chunk"), F.lit(kind).alias("centre"), "class_id", "root", "n")
+
+    member, centre = cut(state, 0), cut(centres, 1)
     rows = member.unionAll(centre).join(sketches, "class_id").select("key", "chunk", "centre", "class_id", "root", "n", "sketch")
 
     def compare(held: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -229,12 +254,12 @@ def _close_pairs(state: DataFrame, centres: DataFrame, sketches: DataFrame, thre
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for b in batches:
-            key, chunk = b.column(0).to_numpy(), b.column(1).to_numpy()
+            key, chunk = b.column(0).to_numpy(), np.asarray(b.column(1).to_pylist(), object)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), b.num_rows]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if y == x:
                     continue
-                if rest and (rest[-1].column(0)[0].as_py(), rest[-1].column(1)[0].as_py()) != (int(key[x]), int(chunk[x])):
+                if rest and (rest[-1].column(0)[0].as_py(), rest[-1].column(1)[0].as_py()) != (int(key[x]), chunk[x]):
                     yield from compare(pa.Table.from_batches(rest))
                     rest = []
                 rest.append(b.slice(x, y - x))
@@ -244,7 +269,7 @@ def _close_pairs(state: DataFrame, centres: DataFrame, sketches: DataFrame, thre
     return rows.repartition(n, "key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(walk, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), centres: int = 2, enough: float = 0.7) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100), centres: int = 2, enough: float = 0.7, name_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document row; threshold is a fraction.
 
     A round takes up to `centres` members of each bucket. When a round leaves more than `enough` of the
@@ -253,8 +278,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_arrow_batches(spark, 256)
     source, rows = clean(docs, id_col, text_col), band_rows(threshold[0] / threshold[1])
-    signed = materialise(_sign(source, shingle, rows), "signatures")
-    classes = materialise(signed.filter("class_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    signed = materialise(_sign(source, shingle, rows, name_bits), "signatures")
+    known = signed.filter("name IS NOT NULL AND doc_id IS NOT NULL")
+    # sets are told apart by 128 bits: where two share a name, both go by a name of their own
+    mixed = materialise(known.groupBy("name").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b").select("name"), "mixed")
+    mixed = None if mixed.isEmpty() else mixed
+    classes = materialise(_identified(known, mixed).groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     entries = classes.select("class_id", "rep", "n", F.explode("bands").alias("key"))
     full = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = materialise(entries.join(full.select("key"), "key"), "members")
@@ -262,11 +291,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = [class_of(s) if len(s) else None for s in shingle_sets(b.column(0), shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column(0)], ["class_id", "text"])
+            names = [class_of(s, name_bits) if len(s) else None for s in shingle_sets(b.column(0), shingle)]
+            yield pa.RecordBatch.from_arrays([*_named(names), b.column(0)], ["name", "check", "text"])
         release()
 
-    texts = materialise(source.join(involved, source.doc_id == involved.rep, "left_semi").select("text").mapInArrow(named, "class_id long, text string"), "texts")
+    texts = materialise(_identified(source.join(involved, source.doc_id == involved.rep, "left_semi").select("text").mapInArrow(named, "name long, check long, text string"), mixed), "texts")
     sketches = classes.select("class_id", "sketch")
     rooted, links, tested, done, outside_before = None, None, None, None, None
     left, turn = members.select("key", "class_id", "n"), 0
@@ -310,7 +339,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if rooted is not None:
         at = named_roots.join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
         named_roots = at.join(at.groupBy("root").agg(F.min("rep").alias("least")), "root").select("class_id", F.col("least").alias("rep"))
-    placed = signed.select("doc_id", "n_shingles", F.expr("if(doc_id IS NULL, NULL, class_id)").alias("class_id")).join(named_roots, "class_id", "left")
+    placed = _identified(signed.select("doc_id", "n_shingles", "name", "check"), mixed).withColumn("class_id", F.expr("if(doc_id IS NULL, NULL, class_id)")).join(named_roots, "class_id", "left")
     component = F.coalesce("rep", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

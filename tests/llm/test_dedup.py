@@ -196,6 +196,29 @@ def test_near_dedup_chains_and_borders(spark):
     assert got == want and 1 < len(set(want.values())) < 150
 
 
+def test_near_dedup_with_colliding_names(spark):
+    rows = [(r[0], r[1]) for r in hostile()]
+    want = components(rows, 3, 85, 100)
+    got = near_dedup(table(spark), shingle=3, threshold=(85, 100), name_bits=2).collect()
+    assert by_text(map(tuple, got)) == by_text((d, len(shingles(t, 3)), want.get(d), d is None or want[d] == d) for d, t in rows)
+
+
+def test_near_dedup_with_buckets_of_unlike_members(spark, monkeypatch):
+    monkeypatch.setattr(ND, "CHUNK", 40)
+    rng = np.random.default_rng(9)
+    rows, base = [], [f"b{k}" for k in range(100)]
+    for d in range(400):
+        cut = rng.integers(0, 25)
+        w = base[: 100 - cut] + [f"n{d}x{k}" for k in range(cut)] if d % 8 else base[:80] + [f"m{d // 80}x{k}" for k in range(20 + d % 3)]
+        rows.append((int(d), " ".join(w)))
+    want = components(rows, 3, 85, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for enough in (0.7, 0.0):  # 0.0: the last round comes as soon as it can
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup(df, shingle=3, threshold=(85, 100), centres=1, enough=enough).collect()}
+        assert got == want
+    assert len(set(want.values())) > 2
+
+
 def test_components_both_ways(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2)) if a != b] + [(k, k + 1) for k in range(300, 340)]
