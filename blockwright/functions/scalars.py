@@ -69,7 +69,23 @@ def five_numbers(text: Column) -> Column:
 
 
 def fixed_text(x: Column, decimals: int) -> Column:
-    return F.when(x.isNull() | F.isnan(x), "nan").otherwise(F.format_string(f"%.{decimals}f", x))
+    """x with so many decimals, rounded half to even on its exact value; 'nan' for null and NaN.
+
+    The formatter of the JVM rounds shortest decimal texts half up. Here the product with 10**decimals and
+    its rounding error, which splitting x in two halves gives exactly, decide.
+    """
+    unit, size = 10**decimals, F.abs(x.cast("double"))
+    wide = size * 134217729.0
+    high = wide - (wide - size)
+    product = size * float(unit)
+    error = (high * float(unit) - product) + (size - high) * float(unit)
+    below = F.floor(product)
+    half = product - below - 0.5
+    up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & (below % 2 == 1))))
+    digits = F.lpad((below + up.cast("long")).cast("string"), F.greatest(F.length((below + up.cast("long")).cast("string")), F.lit(decimals + 1)), F.lit("0"))
+    text = F.concat(F.left(digits, F.length(digits) - decimals), F.lit("."), F.right(digits, F.lit(decimals))) if decimals else digits
+    signed = F.concat(F.when(x < 0, "-").otherwise(""), F.when(size == float("inf"), "inf").when(product >= 2.0**53, F.format_string(f"%.{decimals}f", size)).otherwise(text))
+    return F.when(x.isNull() | F.isnan(x), "nan").otherwise(signed)
 
 
 def relative(value: Column, base: Column) -> Column:

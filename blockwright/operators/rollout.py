@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockwright.session import checkpointed
+
 
 def gae(rollout: DataFrame, gamma: float = 0.99, lam: float = 0.95, order: str = "env") -> DataFrame:
     """Advantages of rollout(env_id, t, rew, val, done): a fold over each environment's steps, from the last.
@@ -92,13 +94,18 @@ def soft_weights(x: Column, low: Column, mid: Column, high: Column, eps: float =
     return [F.when(total <= eps, default).otherwise(p / total) for p, default in zip(parts, (0.0, 1.0, 0.0), strict=True)]
 
 
+def soft_weight(x: Column, low: Column, mid: Column, high: Column, w_low: float, w_mid: float, w_high: float, invert: bool = False, eps: float = 1e-6) -> Column:
+    """The three weights mixed by the memberships of x; invert: the outer memberships change places."""
+    a, b, c = soft_weights(x, low, mid, high, eps)
+    return (c if invert else a) * w_low + b * w_mid + (a if invert else c) * w_high
+
+
 def batches(items: DataFrame, order: str, n_bytes: str, per_batch: int) -> DataFrame:
     """Items in order with the batch that a fixed count puts them in and their running size.
 
     Order over all items is taken in ranges: range sums first, then windows within a range, so no task holds all items.
     """
-    ranged = items.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = checkpointed(items.select(order, n_bytes).repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     sums = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(n_bytes).alias("_b"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b"))

@@ -252,7 +252,7 @@ d AS (SELECT env_id, i, t, val, CASE WHEN done THEN 0 ELSE 1 END nt, rew + 0.99*
 g AS (SELECT env_id, i, t, val, CAST(delta AS DOUBLE) adv FROM d WHERE i = 1 UNION ALL SELECT d.env_id, d.i, d.t, d.val, CAST(d.delta + 0.99*0.95*d.nt*g.adv AS DOUBLE) FROM g JOIN d ON d.env_id = g.env_id AND d.i = g.i + 1)
 SELECT env_id, t, {r6('adv', 'advantage')}, {r6('adv + val', 'ret')} FROM g""",
     "q_adv_norm": f"WITH {_ROLL} SELECT env_id, t, {r6('(rew - avg(rew) OVER ())/(stddev_samp(rew) OVER () + 1e-8)', 'norm')} FROM roll",
-    "q_early_stop": """WITH RECURSIVE e AS (SELECT CAST(event_id%100 AS INT) run, CAST(event_id//100 AS INT) epoch, value/100 bpp, 30 + value/50 db FROM events WHERE event_id//100 < 10),
+    "q_early_stop": """WITH RECURSIVE e AS (SELECT CAST(event_id%100 AS INT) run, CAST(event_id//100 AS INT) epoch, value/100 bpp, 30 + value/50 db FROM events),
 s AS (SELECT run, epoch, bpp best_bpp, db best_db, 0 wait, FALSE stop FROM e WHERE epoch = 0
  UNION ALL SELECT e.run, e.epoch, CASE WHEN (CASE WHEN e.epoch < 2 THEN bpp < best_bpp ELSE best_bpp - bpp >= 0.01 END) THEN bpp ELSE best_bpp END, CASE WHEN (CASE WHEN e.epoch < 2 THEN db > best_db ELSE db - best_db >= 0.05 END) THEN db ELSE best_db END,
  CASE WHEN e.epoch < 2 OR best_bpp - bpp >= 0.01 OR db - best_db >= 0.05 THEN 0 ELSE wait + 1 END, e.epoch >= 2 AND NOT (best_bpp - bpp >= 0.01 OR db - best_db >= 0.05) AND wait + 1 >= 3 FROM s JOIN e ON e.run = s.run AND e.epoch = s.epoch + 1)
@@ -270,3 +270,8 @@ UNION ALL SELECT lp.epoch, lp.phase, CAST(1 AS INT), lp.batch, concat('PROG ', l
 UNION ALL SELECT epoch, phase, CAST(2 AS INT), CAST(NULL AS INT), 'TOTAL', {r6('coalesce(avg(R), 0)', 'value')} FROM mt GROUP BY epoch, phase"""
 SQL["q_split_reward"] = f"""WITH {VPIX}, l AS (SELECT DISTINCT image_id, {LEAF} leaf_no FROM vpix)
 SELECT image_id, leaf_no, CAST(1 AS INT) AS split, {r6('1.0/64', 'bpp')}, CAST(120 AS DOUBLE) AS psnr, {r6('-1.0/64', 'reward')} FROM l"""
+
+
+from blockwright.plans import more  # noqa: E402  (it builds on the twins above)
+
+SQL |= more.SQL

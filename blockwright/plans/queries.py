@@ -22,6 +22,7 @@ from blockwright.operators import rollout as RO
 from blockwright.operators import tiling as T
 from blockwright.operators import trainlog as L
 from blockwright.sources import container as CT
+from blockwright.plans import more
 from blockwright.plans.fixtures import rdpts, table, tlog, vpix
 
 BLOCK = 8
@@ -356,4 +357,4 @@ def q_rd_grid_best(spark, sf):
     return _rounded(E.best_actions(s), "bpp", "psnr", "msssim", "reward")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")} | more.QUERIES

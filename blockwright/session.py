@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no checkpoint folder, as in tests.
+DEFAULT_WORK = "/tmp/checkpoints/blockwright"
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir, else DEFAULT_WORK."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or DEFAULT_WORK).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, with its partitions and their order."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def session(master: str | None = None, app: str = "blockwright", partitions: int | None = None, **conf: str) -> SparkSession:

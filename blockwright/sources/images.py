@@ -8,17 +8,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the image files that are looked for.
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
 
 
+def is_image(path: Column) -> Column:
+    """Whether a path ends in one of the known extensions, in any case."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*EXTENSIONS)
+
+
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Image files under a folder, or one file, with path, length and modificationTime, by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
-    return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS)).orderBy("path")
+    return files.filter(is_image(F.col("path"))).orderBy("path")
 
 
 def load_images(spark: SparkSession, root: str) -> DataFrame:

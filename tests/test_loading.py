@@ -13,6 +13,22 @@ def test_batches_and_environments(spark):
     for rows in _groups(L.memory_batches(df, "i", "b", 50).collect()):
         assert sum(r["b"] for r in rows) <= 50
     assert L.memory_batches(spark.createDataFrame([(1, 99), (2, 1)], "i long, b long").coalesce(1), "i", "b", 50).select("batch").distinct().count() == 2
+    rng = np.random.default_rng(2)
+    for budget in (50, 100, 7):
+        sizes = rng.choice([0, 1, 10, 30, 60, 120], 100).tolist()
+        want, held, no = [], 0, 0
+        for n in sizes:
+            if held and held + n > budget:
+                held, no = 0, no + 1
+            held += n
+            want.append(no)
+        for parts in (1, 3, 10):
+            with_parts = spark.createDataFrame(list(enumerate(sizes)), "i long, b long").repartition(parts)
+            got = {r["i"]: r["batch"] for r in L.memory_batches(with_parts, "i", "b", budget).collect()}
+            assert [got[k] for k in range(100)] == want
+    ten = spark.createDataFrame([(k, 10) for k in range(100)], "i long, b long")
+    for parts in (1, 10):
+        assert L.memory_batches(ten.repartition(parts), "i", "b", 300).select("batch").distinct().count() == 4
     assert L.estimated_batches(df, "b", 30, 40) == 20
     env = sorted(map(tuple, L.environments(df, "i", 3).collect()))
     assert env == [(0, 0), (1, 1), (2, 2)] and sorted(map(tuple, L.environments(df.limit(2), "i", 5).collect())) == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)]

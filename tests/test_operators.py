@@ -205,3 +205,12 @@ def test_early_stop_reads_all_events(spark, tmp_path):
     got = {(r["run"], r["epoch"]): (r["best_bpp"], r["best_db"], r["wait"], r["stop"]) for r in q_early_stop(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys()
     assert all(abs(g[0] - w[0]) + abs(g[1] - w[1]) < 3e-6 and g[2:] == w[2:] for g, w in ((got[k], want[k]) for k in want))
+
+
+def test_fixed_text_rounds_exact_values_like_python(spark):
+    rng = np.random.default_rng(4)
+    values = [0.0, 0.125, 0.375, -0.125, 1.005, 1.115, 2.675, 9.25, -0.001, 0.5, 1.5, 2.5, 1e15, 123456789.5, float("inf"), *(rng.normal(size=300) * 100).tolist(), *(rng.integers(-4000, 4000, 200) / 16).tolist(), *(rng.integers(0, 99999, 300) / 1000).tolist()]
+    df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "x double")
+    for d in (0, 1, 2, 3):
+        got = [r["t"] for r in df.select(S.fixed_text(F.col("x"), d).alias("t")).collect()]
+        assert got == [f"{v:.{d}f}" for v in values] + ["nan", "nan"]
