@@ -287,3 +287,5 @@ y AS (SELECT *, CASE WHEN b = 0 THEN 0.0 ELSE (R - b)/abs(b) END rel FROM z)
 SELECT epoch, phase, batch, round(rel, 6) + 0.0 AS r_rel, CASE WHEN rel > 0.5 THEN 'BLUE' WHEN R > b THEN 'GREEN' ELSE 'RED' END AS class FROM y"""
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
+#: The twins of all registered queries of the library's first half.
+ALL_SQL = O.SQL | SQL

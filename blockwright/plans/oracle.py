@@ -271,7 +271,3 @@ UNION ALL SELECT epoch, phase, CAST(2 AS INT), CAST(NULL AS INT), 'TOTAL', {r6('
 SQL["q_split_reward"] = f"""WITH {VPIX}, l AS (SELECT DISTINCT image_id, {LEAF} leaf_no FROM vpix)
 SELECT image_id, leaf_no, CAST(1 AS INT) AS split, {r6('1.0/64', 'bpp')}, CAST(120 AS DOUBLE) AS psnr, {r6('-1.0/64', 'reward')} FROM l"""
 
-
-from blockwright.plans import more  # noqa: E402  (it builds on the twins above)
-
-SQL |= more.SQL

@@ -1,6 +1,6 @@
 import pytest
 
-from blockwright.plans.oracle import SQL
+from blockwright.plans.more import ALL_SQL as SQL
 from blockwright.plans.queries import QUERIES
 
 from compare import same
