@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import CLASS_SHARES, COMMON_WORDS
+from .quality_rules import CLASS_SHARES, COMMON_WORDS, word_limit
 
 #: Words of a text; null has none.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -50,6 +50,7 @@ def _quality() -> str:
     shares = "CASE lang " + " ".join(f"WHEN '{k}' THEN [[{', '.join(f'{x}::DOUBLE' for x in v)}]]" for k, v in CLASS_SHARES.items()) + f" ELSE [{', '.join('[' + ', '.join(f'{x}::DOUBLE' for x in v) + ']' for v in CLASS_SHARES.values())}] END"
     words = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items()) + " END"
     usual = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(f'{x / 1000}::DOUBLE' for x in v.values())}, {1 - sum(v.values()) / 1000}::DOUBLE]" for k, v in COMMON_WORDS.items()) + " END"
+    limit = "CASE lang " + " ".join(f"WHEN '{k}' THEN {word_limit(v, 0.1)!r}::DOUBLE" for k, v in COMMON_WORDS.items()) + " END"
     count = "len(regexp_extract_all(t, '{}'))"
     return rf"""
 WITH d AS (SELECT doc_id, lower(lang) AS lang, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
@@ -66,7 +67,7 @@ h AS (SELECT *, list_transform([word_chars - up - dg - pt - n_symbols - ot, up,
 j AS (SELECT *, list_min(list_transform(refs, lambda q: {_distance("s", "q")})) AS cd,
         CASE WHEN usual IS NOT NULL THEN {_distance("list_append(used, 1 - list_sum(used))", "usual")} END AS wd, n_words < 10 OR 100*n_repeat_words > 20*n_words AS base_failed FROM h)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ((word_chars >= 200 AND cd > 0.30) OR (n_words >= 100 AND coalesce(wd > 0.55, FALSE))) AS kept
+       NOT base_failed AND NOT ((word_chars >= 200 AND cd > 0.30) OR (n_words >= 100 AND coalesce(wd > {limit}, FALSE))) AS kept
 FROM j
 """
 
