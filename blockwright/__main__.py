@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.functions.scalars import bits_per_pixel
-from blockwright.operators import codec, metrics, pixels, tiling, trainlog
+from blockwright.operators import codec, metrics, pixels, rollout, tiling, trainlog
 from blockwright.session import session
 from blockwright.sources import config, container, images
 
@@ -17,7 +17,11 @@ def encode_files(spark, root: str, settings: dict) -> tuple[DataFrame, DataFrame
     """(pixels, containers) of the images under a path."""
     conf, split = config.codec_config(settings), config.split_settings(settings)
     found = images.load_images(spark, root)
-    numbered = found.withColumn("image_id", F.abs(F.hash("path")))
+    # images are numbered by path; the listing and the decoder write local paths with different slashes
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    listed = images.list_images(spark, root).select(plain.alias("name"), "length")
+    ids = rollout.batches(listed, "name", "length", 1).select("name", F.col("batch_no").alias("image_id"))
+    numbered = found.withColumn("name", plain).join(ids, "name").drop("name")
     rgb = images.image_pixels(numbered, "image_id")
     planes = pixels.ycc_planes(rgb)
     each = F.array(*[F.struct(F.lit(k).alias("c"), F.col(n).cast("float").alias("v")) for k, n in enumerate(("luma", "cb", "cr"))])
