@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwright.functions.scalars import finite, five_number_summary, rate_axis
+from blockwright.functions.scalars import finite, rate_axis
+from blockwright.session import checkpointed
 
 KEY_NAMES = ["image", "img", "file", "filename", "name", "path", "id"]
 RATE_NAMES = ["bpp", "jpeg_bpp", "bits_per_pixel"]
@@ -57,9 +61,35 @@ def median_summary(df: DataFrame, source: str = "", target_bpp: float = 0.4, tar
     return parts[0].crossJoin(parts[1]).select(*names, "*")  # one row each
 
 
+def five_number_table(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """min, quartiles and max (linear interpolation, zeros where there is no value) of columns by key, as arrays.
+
+    Exact at any size: values are counted, dealt out in ranges of (key, column, value), and those at the wanted
+    places are picked by running counts, so no task holds the values of a key. NaN is the greatest value.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), c.cast("double").alias("_v")) for n, c in columns.items()])).alias("_e")
+    by = [*keys, "_name"]
+    counts = df.select(*keys, each).select(*keys, "_e.*").groupBy(*by, "_v").agg(F.count("_v").alias("_n"))
+    ranged = checkpointed(counts.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_p").agg(F.sum("_n").alias("_s"))
+    key = Window.partitionBy(*by)
+    ahead = F.coalesce(F.sum("_s").over(key.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_p"]], ahead.alias("_ahead"), F.sum("_s").over(key).alias("_total"))
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_p"]])
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.withColumn("_upto", upto).join(sums, same).withColumn("_end", F.col("_ahead") + F.col("_upto"))
+    places = [(F.col("_total") - 1) * q for q in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    at = lambda place: F.max(F.when((F.col("_end") > place) & (F.col("_end") - F.col("_n") <= place), F.col("_v")))
+    picked = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *[at(f(p)).alias(f"_{side}{i}") for i, p in enumerate(places) for side, f in (("low", F.floor), ("high", F.ceil))])
+    value = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"_low{i}")).otherwise((F.ceil(p) - p) * F.col(f"_low{i}") + (p - F.floor(p)) * F.col(f"_high{i}"))
+    five = F.array(*[F.coalesce(value(i, p), F.lit(0.0)) for i, p in enumerate(places)])
+    five = picked.select(*by, five.alias("_five"))
+    return five.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_five"))).alias(n) for n in columns])
+
+
 def quality_sweep(points: DataFrame, quality: str, bpp: str, psnr: str) -> DataFrame:
     """Five-number summaries of rate and PSNR at each quality."""
-    g = points.groupBy(quality).agg(five_number_summary(F.col(bpp)).alias("_b"), five_number_summary(F.col(psnr)).alias("_p"))
+    g = five_number_table(points, [quality], {"_b": F.col(bpp), "_p": F.col(psnr)})
     return g.select(quality, *[F.col(c)[i].alias(f"{n}_{q}") for c, n in (("_b", "bpp"), ("_p", "psnr")) for i, q in enumerate(("min", "q1", "med", "q3", "max"))])
 
 

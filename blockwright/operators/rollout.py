@@ -8,41 +8,73 @@ from pyspark.sql import functions as F
 from blockwright.session import checkpointed
 
 
+#: A block holds 2**BLOCK_BITS time steps of one environment.
+BLOCK_BITS = 12
+_SCANNED = "run long, block long, env_id int, t long, val double, a double, c double, head boolean"
+
+
 def gae(rollout: DataFrame, gamma: float = 0.99, lam: float = 0.95, order: str = "env") -> DataFrame:
-    """Advantages of rollout(env_id, t, rew, val, done): a fold over each environment's steps, from the last.
+    """Advantages of rollout(env_id, t, rew, val, done): a scan over each environment's steps, from the last.
 
     order='interleaved' runs over all environments' steps as one sequence by (t, env_id), as a flat buffer does.
+    An advantage is linear in what follows its block (value and advantage of the next step), so blocks of 4096
+    steps (interleaved: ranges) are scanned side by side, one row of each is chained, and a join adds the rest.
     """
-    key, by = ([F.col("env_id").alias("run")], ["t", "env_id"]) if order == "env" else ([], ["t", "env_id"])
-    step = F.struct(*by, *[c for c in ("rew", "val", "done") if c not in by])
-    seq = rollout.groupBy(*key).agg(F.sort_array(F.collect_list(step), asc=False).alias("s"))
-    return _folded(seq if key else seq.withColumn("run", F.lit(0)), gamma, lam)
+    live = F.when(F.col("done"), 0.0).otherwise(1.0)
+    steps = rollout.select(F.col("env_id").cast("int").alias("env_id"), F.col("t").cast("long").alias("t"), F.col("rew").cast("double").alias("rew"), F.col("val").cast("double").alias("val"), live.alias("live"))
+    if order == "env":
+        steps = steps.withColumns({"run": F.col("env_id").cast("long"), "block": F.shiftright("t", BLOCK_BITS)})
+    else:
+        steps = checkpointed(steps.repartitionByRange("t", "env_id").withColumns({"run": F.lit(0).cast("long"), "block": F.spark_partition_id().cast("long")}))
+    scanned = checkpointed(steps.groupBy("run", "block").applyInArrow(_scan(gamma, lam), _SCANNED))
+    after = scanned.filter("head").select("run", "block", "val", "a", "c").groupBy("run").applyInArrow(_chain(lam), "run long, block long, x double")
+    x = F.coalesce("x", F.lit(0.0))
+    advantage = F.col("a") + F.col("c") * x
+    after = after.select(F.col("run").alias("_run"), F.col("block").alias("_block"), "x")
+    return scanned.join(after, F.col("run").eqNullSafe(F.col("_run")) & F.col("block").eqNullSafe(F.col("_block")), "left").select("env_id", "t", advantage.alias("advantage"), (advantage + F.col("val")).alias("ret"))
+
+
+def _scan(gamma: float, lam: float):
+    """Of one block: advantages (a) as if nothing followed, and the factor (c) of value + lam * advantage of the step after it.
+
+    The recurrence a[i] = d[i] + k[i] * a[i + 1] is solved by doubling: log2(n) passes over arrays.
+    """
+
+    def scan(t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        t = t.take(pc.sort_indices(t, [("t", "ascending"), ("env_id", "ascending")]))
+        rew, val, live = (t[c].to_numpy() for c in ("rew", "val", "live"))
+        a, c = rew + gamma * live * np.append(val[1:], 0.0) - val, gamma * lam * live
+        c[-1] = gamma * live[-1]
+        width = 1
+        while width < len(a):
+            a[:-width] = a[:-width] + c[:-width] * a[width:]
+            c[:-width] = c[:-width] * c[width:]
+            width *= 2
+        head = np.arange(len(a)) == 0
+        return pa.table([t["run"], t["block"], t["env_id"], t["t"], t["val"], pa.array(a), pa.array(c), pa.array(head)], ["run", "block", "env_id", "t", "val", "a", "c", "head"])
 
-def _folded(seq: DataFrame, gamma: float, lam: float) -> DataFrame:
-    live = lambda x: F.when(x["done"], 0.0).otherwise(1.0)
+    return scan
 
-    def delta(x: Column, i: Column) -> Column:
-        after = F.when(i > 0, F.col("s")[F.greatest(i - 1, F.lit(0))]["val"]).otherwise(0.0)
-        return F.struct(x["env_id"].cast("int").alias("env_id"), x["t"].cast("long").alias("t"), x["val"].cast("double").alias("val"), (x["rew"] + gamma * after * live(x) - x["val"]).alias("d"), (gamma * lam * live(x)).alias("k"))
 
-    rows = seq.select("run", F.transform("s", delta).alias("s")).select("run", F.posexplode("s").alias("i", "x"))
-    return rows.select("run", "i", "x.*").groupBy("run").applyInArrow(_scan, "env_id int, t long, advantage double, ret double")
+def _chain(lam: float):
+    """Of the first rows of a run's blocks: what follows each block, value + lam * advantage of the next step."""
 
+    def chain(t):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def _scan(t):
-    """Advantages of one sequence, its last step first."""
-    import numpy as np
-    import pyarrow as pa
+        t = t.take(pc.sort_indices(t, [("block", "descending")]))
+        x, out = 0.0, []
+        for val, a, c in zip(*(t[n].to_pylist() for n in ("val", "a", "c")), strict=True):
+            out.append(x)
+            x = val + lam * (a + c * x)
+        return pa.table([t["run"], t["block"], pa.array(out, pa.float64())], ["run", "block", "x"])
 
-    order = np.argsort(t["i"].to_numpy())
-    d, k = t["d"].to_numpy()[order], t["k"].to_numpy()[order]
-    out, a = np.empty(len(d)), 0.0
-    for n in range(len(d)):
-        a = d[n] + k[n] * a
-        out[n] = a
-    val = t["val"].to_numpy()[order]
-    return pa.table({"env_id": t["env_id"].to_numpy()[order], "t": t["t"].to_numpy()[order], "advantage": out, "ret": out + val})
+    return chain
 
 
 def normalised_advantage(df: DataFrame, column: str, name: str = "norm") -> DataFrame:

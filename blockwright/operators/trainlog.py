@@ -1,11 +1,15 @@
 """Training-log ETL: lines(file, file_no, line_no, line) to batch, epoch and progress facts.
 
-Order-bearing steps key on (file_no, line_no) and a run: windows are partitioned by `run` columns, so
-many logs are parsed side by side and only one log's lines share a task.
+Order-bearing steps key on (file_no, line_no) and a run, whose columns are `run`. What a line takes from the
+lines before it is carried by blocks of a file's lines: a window within each block, and one over the blocks'
+own last values, a row for 65,536 lines. So neither a log nor many in one run gather in one task.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,24 +56,38 @@ def with_kind(lines: DataFrame) -> DataFrame:
     return once(lines, kind=kind)
 
 
-def _in_order(run: list[str]):
-    return Window.partitionBy(*run).orderBy("file_no", "line_no")
+#: A block holds 2**BLOCK_BITS line numbers of one file.
+BLOCK_BITS = 16
 
 
-def _so_far(run: list[str]):
-    return _in_order(run).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _carried(rows: DataFrame, run: list[str], last: dict[str, Column], greatest: dict[str, Column] | None = None) -> DataFrame:
+    """rows with the last value that isn't null, or the greatest, of all lines of the run up to each."""
+    greatest = greatest or {}
+    at = [*run, "file_no", "_block"]
+    rows = rows.withColumns({"_block": F.shiftright(F.col("line_no").cast("long"), BLOCK_BITS)} | {f"_{n}": c for n, c in (last | greatest).items()})
+    heads = rows.groupBy(*at).agg(*[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("line_no"))).alias(f"_{n}") for n in last], *[F.max(f"_{n}").alias(f"_{n}") for n in greatest])
+    before = Window.partitionBy(*(run or [F.lit(0)])).orderBy("file_no", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    known = {n: F.last(f"_{n}", True) for n in last} | {n: F.max(f"_{n}") for n in greatest}
+    heads = heads.select(*[F.col(c).alias(f"_of_{c}") for c in at], *[c.over(before).alias(f"_before_{n}") for n, c in known.items()])
+    within = Window.partitionBy(*at).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumns({f"_{n}": c.over(within) for n, c in known.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in at]
+    joined = own.join(heads, functools.reduce(operator.and_, same), "left")
+    now = {n: F.coalesce(f"_{n}", f"_before_{n}") for n in last} | {n: F.greatest(f"_{n}", f"_before_{n}") for n in greatest}
+    return joined.withColumns(now).drop("_block", *[f"_of_{c}" for c in at], *[f"{p}{n}" for n in known for p in ("_", "_before_")])
 
 
 def with_context(kinded: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Lines with the epoch, phase and batch of the last header; files of a run carry on where the one before ended."""
     header = F.when(F.col("kind") == "batch", F.struct(whole("batch", 1).alias("epoch"), F.lit("train").alias("phase"), whole("batch", 3).alias("batch")))
     header = header.when(F.col("kind") == "val", F.struct(whole("val", 1).alias("epoch"), F.lit("val").alias("phase"), whole("val", 3).alias("batch")))
-    return kinded.withColumn("context", F.last(header, ignorenulls=True).over(_so_far(run or [])))
+    return _carried(kinded, run or [], {"context": header})
 
 
 def progress(lines: DataFrame, run: list[str] | None = None) -> DataFrame:
     run = run or []
-    c = with_context(with_kind(lines), run).filter("kind = 'progress' AND context IS NOT NULL")
+    k = with_kind(lines).filter("kind IN ('batch', 'val', 'progress')")
+    c = with_context(k, run).filter("kind = 'progress' AND context IS NOT NULL")
     return c.select(*run, "file", "file_no", "line_no", "context.*", group("progress", 1).alias("label"), whole("progress", 2).alias("pct"), whole("progress", 3).alias("done"), whole("progress", 4).alias("total"), number("progress", 5).alias("elapsed_s"))
 
 
@@ -133,9 +151,10 @@ def per_epoch(lines: DataFrame, run: list[str] | None = None) -> DataFrame:
 
     train = summary("train_summary", "train", {"epochs_total": whole("train_summary", 2), "alpha_bpp": number("train_summary", 16), "alpha_psnr": number("train_summary", 17)})
     val = summary("val_summary", "val", {})
-    metric = F.last(F.when(F.col("kind") == "metrics", whole("metrics", 1)), ignorenulls=True).over(_so_far(run))
-    known = F.max(F.when(F.col("kind") == "train_summary", whole("train_summary", 1)).when(F.col("kind") == "val_summary", whole("val_summary", 1))).over(_so_far(run))
-    attached = k.filter(~F.col("kind").isin("other", "progress", "time")).withColumn("epoch", F.coalesce(metric, known)).filter("kind IN ('early', 'saved') AND epoch IS NOT NULL")
+    metric = F.when(F.col("kind") == "metrics", whole("metrics", 1))
+    known = F.when(F.col("kind") == "train_summary", whole("train_summary", 1)).when(F.col("kind") == "val_summary", whole("val_summary", 1))
+    told = _carried(k.filter(~F.col("kind").isin("other", "progress", "time")), run, {"metric": metric}, {"known": known})
+    attached = told.filter("kind IN ('early', 'saved')").withColumn("epoch", F.coalesce("metric", "known")).filter("epoch IS NOT NULL")
     at = F.struct("file_no", "line_no")
     early = attached.filter("kind = 'early'").groupBy(*run, "epoch").agg(F.max_by(F.struct(to_bool(group("early", 1)).alias("improved_bpp"), to_bool(group("early", 2)).alias("improved_psnr"), whole("early", 3).alias("early_wait"), whole("early", 4).alias("early_patience")), at).alias("v")).select(*run, "epoch", "v.*")
     saved = attached.filter("kind = 'saved'").groupBy(*run, "epoch").agg(F.max_by(F.trim(group("saved", 1)), at).alias("checkpoint"))

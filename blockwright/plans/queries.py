@@ -258,7 +258,7 @@ def q_minmax_norm(spark, sf):
 
 
 def q_five_number(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(S.five_number_summary(F.col("l_extendedprice")).alias("p"), S.five_number_summary(F.col("l_quantity")).alias("q"))
+    g = RD.five_number_table(table(spark, sf, "lineitem"), ["l_returnflag"], {"p": F.col("l_extendedprice"), "q": F.col("l_quantity")})
     return g.select("l_returnflag", *[r6(F.col(c)[i]).alias(f"{n}_{q}") for c, n in (("p", "price"), ("q", "qty")) for i, q in enumerate(("min", "q1", "med", "q3", "max"))])
 
 

@@ -171,6 +171,36 @@ def test_gae_orders(spark, order):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("order,lam", [("env", 0.95), ("env", 0.0), ("interleaved", 0.95)])
+def test_gae_across_blocks(spark, monkeypatch, order, lam):
+    monkeypatch.setattr(RO, "BLOCK_BITS", 4)
+    rng = np.random.default_rng(5)
+    steps = [t for t in range(150) if not 40 <= t < 80]
+    rows = [(e, t, float(rng.random()), float(rng.random()), bool(rng.random() < 0.02)) for t in steps for e in range(4)]
+    df = spark.createDataFrame(rows, "env_id int, t long, rew double, val double, done boolean").repartition(5)
+    groups = [rows] if order == "interleaved" else [[r for r in rows if r[0] == e] for e in range(4)]
+    want = {k: v for g in groups for k, v in gae_by_hand(g, 0.99, lam).items()}
+    got = {(r["env_id"], r["t"]): (r["advantage"], r["ret"]) for r in RO.gae(df, lam=lam, order=order).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k]) < 1e-9 for k in want)
+    assert all(abs(got[r[0], r[1]][1] - want[r[0], r[1]] - r[3]) < 1e-9 for r in rows)
+    assert RO.gae(df.limit(0), order=order).collect() == []
+
+
+def test_five_numbers_of_ranges(spark):
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(round(v, 1))) for v in rng.normal(size=3000)] + [("few", 1.0), ("few", 2.0), ("one", 4.0), ("none", None), (None, 3.0), (None, 5.0), ("few", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r["k"]: (r["a"], r["b"]) for r in RD.five_number_table(df, ["k"], {"a": F.col("v"), "b": -F.col("v")}).collect()}
+    assert got.keys() == {"hot", "few", "one", "none", None}
+    for k in got:
+        v = np.array([x for n, x in rows if n == k and x is not None])
+        for x, sign in zip(got[k], (1, -1), strict=True):
+            assert np.allclose(x, np.quantile(sign * v, (0, 0.25, 0.5, 0.75, 1)) if len(v) else [0] * 5)
+    assert RD.five_number_table(df.limit(0), ["k"], {"a": F.col("v")}).collect() == []
+    odd = spark.createDataFrame([("x", float("nan")), ("x", 1.0), ("x", 2.0)], "k string, v double")
+    assert RD.five_number_table(odd, ["k"], {"a": F.col("v")}).first()["a"][:3] == [1.0, 1.5, 2.0]
+
+
 def test_early_stop_off_and_soft_weights(spark):
     df = spark.createDataFrame([(0, e, 1.0, 30.0) for e in range(6)], "run int, epoch int, bpp double, db double")
     assert not any(r["stop"] for r in RO.early_stop(df, "run", 2, enabled=False).collect())

@@ -1,3 +1,5 @@
+import pytest
+
 from blockwright.operators import trainlog as L
 
 
@@ -47,3 +49,37 @@ def test_totals_and_classes(spark):
     assert {(r["batch"], r["class"]) for r in L.reward_classes(b).filter("phase = 'train'").collect()} == {(1, "GREEN"), (2, "RED")}
     epochs = spark.createDataFrame([(1, -3.0, 0.0)], "epoch int, train_Wtotal double, val_Wtotal double")
     assert {r["class"] for r in L.reward_classes(b, epochs=epochs).filter("phase = 'train' AND batch = 2").collect()} == {"RED"}
+
+
+@pytest.mark.parametrize("run", [None, ["run"]])
+def test_carried_values_do_not_depend_on_blocks(spark, monkeypatch, run):
+    lines = []
+    for file_no in range(3):
+        for n in range(60):
+            line = "noise"
+            if n in (7, 31) and file_no != 1:
+                line = f"[Epoch {file_no + 1}/9] Batch {n}/50" if n == 7 else f"[Epoch {file_no + 1}/9] VAL {n}/50"
+            elif n % 5 == 0:
+                line = f"[PROGRESS] roll {n}% ({n}/100) elapsed=1.0s"
+            elif n == 33 and file_no != 1:
+                line = f"[Epoch {file_no + 5}/9] 1/50  BATCH  bpp=[0.1, 0.2, 0.3, 0.4, 0.5]  PSNR=[20, 21, 22, 23, 24]  MS=0.9  R~=-1.5"
+            elif n == 1 and file_no == 0:
+                line = "[RL] iter 3/9  bpp_med=0.3 (min=0.1, q1=0.2, q3=0.4, max=0.5) PSNR_med=30 dB (min=0.1, q1=0.2, q3=0.4, max=0.5) MS-SSIM_avg=0.9 Wtotal=-1 TRAIN_epoch_elapsed=1m1s alpha_bpp=0.5 alpha_psnr=0.1"
+            elif n in (3, 44):
+                line = f"[RL] saved epoch checkpoint -> c{file_no}-{n}"
+            lines += [(r, f"f{file_no}", file_no, n, line) for r in ("a", "b")[: 2 if run else 1]]
+    df = spark.createDataFrame(lines, "run string, file string, file_no int, line_no long, line string").repartition(4)
+    results = []
+    for bits in (16, 2, 0):
+        monkeypatch.setattr(L, "BLOCK_BITS", bits)
+        results.append([sorted(map(tuple, f(df, run).collect()), key=repr) for f in (L.progress, L.per_epoch)])
+    assert results[0] == results[1] == results[2]
+    assert {x[-1] for x in results[0][1]} == {"c0-3"}  # later ones belong to the epochs of metrics rows, which make no row
+    runs, seen = (2, {}) if run else (1, {})
+    for r, _, file_no, n, line in sorted(lines):
+        if line.startswith("[Epoch") and "bpp" not in line:
+            seen[r] = (file_no + 1, "train" if "Batch" in line else "val", n)
+        elif line.startswith("[PROG") and r in seen:
+            seen.setdefault("rows", []).append(seen[r])
+    k = len(run or [])
+    assert sorted(x[k + 3 : k + 6] for x in results[0][0]) == sorted(seen["rows"]) and len(seen["rows"]) % runs == 0
