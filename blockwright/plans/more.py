@@ -212,7 +212,7 @@ def q_header_bytes(spark: SparkSession, sf: str) -> DataFrame:
             for k in b.column(0).to_pylist():
                 w, h, block = k * 37 % 5000 + 300, k * 91 % 3000 + 300, 8 << k % 3
                 data = CT.header_bytes(1 + k % 3, w, h, block, k + 1)
-                back = CT.read_header(data + b"rest")
+                back = CT.header_fields(data + b"rest")
                 rows.append((k, data.hex().upper(), back["version"], back["w"], back["h"], back["block"], back["n"], back["start"]))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.string(), *[pa.int64()] * 6)], ["s_suppkey", "head", "version", "w", "h", "block", "n", "start"])
 

@@ -31,17 +31,25 @@ def header_bytes(version: int, w: int, h: int, block: int, n: int, magic: str =
     return magic.encode("ascii")[:4] + version.to_bytes(2, "big") + w.to_bytes(4, "big") + h.to_bytes(4, "big") + block.to_bytes(2, "big") + varint(n)
 
 
-def read_header(data: bytes) -> dict:
+def header_fields(data: bytes) -> dict:
+    """The fields of a header as written, with where the records start."""
     r = Reader(data)
     magic = r.take(4).decode("ascii")
     version, w, h, block = r.number(2), r.number(4), r.number(4), r.number(2)
     n = r.varint()
-    most = 2 * -(-w // max(1, block)) * -(-h // max(1, block))
-    if not 0 < n <= most:
-        raise ValueError(f"{n} blocks in an image that holds {most} at most")
     return {"magic": magic, "version": version, "w": w, "h": h, "block": block, "n": n, "start": r.at}
 
 
+def read_header(data: bytes) -> dict:
+    """The header of a file; more blocks than its image can hold are an error."""
+    head = header_fields(data)
+    block = max(1, head["block"])
+    most = 2 * -(-head["w"] // block) * -(-head["h"] // block)
+    if not 0 < head["n"] <= most:
+        raise ValueError(f"{head['n']} blocks in an image that holds {most} at most")
+    return head
+
+
 def index_bytes(chunks: list[tuple[int, int]], version: int, crc: int) -> bytes:
     """The footer: (offset, records) of each chunk, for version 2 on with the payload's CRC."""
     table = INDEX_PREFIX + varint(len(chunks)) + b"".join(varint(a) + varint(n) for a, n in chunks)
