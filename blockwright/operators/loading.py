@@ -28,21 +28,27 @@ def _next_cuts(sums: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _range_steps(t: pa.Table, budget: int) -> pa.Table:
-    """What a range makes of the bytes held before it, as steps: (over, whether any, cuts, held after it)."""
+    """What a range makes of the bytes held before it: steps (at, over, cuts, held after it, total) in order.
+
+    Step -1 holds where nothing is held before; else the first step with `over` below what is held, and
+    if there is none the range makes no cut. Sizes are no less than 0.
+    """
     sums = np.concatenate([[0], np.cumsum(t["size"].to_numpy())])
     n, after = len(sums) - 1, _next_cuts(sums, budget)
     cuts, held = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for j in range(n - 1, -1, -1):
         m = after[j]
         cuts[j], held[j] = (cuts[m] + 1, held[m]) if m < n else (0, sums[n] - sums[j])
-    # with more than `over` bytes held the first cut is at an item; further cuts follow from there
+    # with more than `over` bytes held the first cut is at an item or before it; further cuts follow from there
     over = budget - sums[1:]
     new = np.ones(n, bool)
     new[:-1] = (cuts[1:] != cuts[:-1]) | (held[1:] != held[:-1])
-    keep = np.flatnonzero(new)[::-1]
-    rows = [(-1, int(cuts[0]), int(held[0]))] + [(max(0, int(over[k])), int(cuts[k]) + 1, int(held[k])) for k in keep]
+    keep = np.flatnonzero(new)
+    # the first that any byte held exceeds is the last one needed
+    keep = keep[: int(np.searchsorted(-over[keep], 0)) + 1]
+    rows = [(-1, 0, int(cuts[0]), int(held[0]))] + [(int(k), int(over[k]), int(cuts[k]) + 1, int(held[k])) for k in keep]
     p = t["_p"][0].as_py()
-    return pa.table({"_p": pa.array([p] * len(rows), pa.int32()), "over": [r[0] for r in rows], "cuts": [r[1] for r in rows], "held": [r[2] for r in rows], "total": [int(sums[n])] * len(rows)})
+    return pa.table({"_p": pa.array([p] * len(rows), pa.int32()), **{c: [r[k] for r in rows] for k, c in enumerate(("at", "over", "cuts", "held"))}, "total": [int(sums[n])] * len(rows)})
 
 
 def memory_batches(items: DataFrame, order: str, n_bytes: str, budget: int) -> DataFrame:
@@ -50,31 +56,30 @@ def memory_batches(items: DataFrame, order: str, n_bytes: str, budget: int) -> D
 
     The order is taken in ranges. Each range tells, as a short list of steps, how many cuts it makes and what
     it leaves held for any number of bytes held before it; one task follows those lists from range to range,
-    and then all ranges cut their items side by side. Ties in the order are taken by size; null sizes count 0.
+    and then all ranges cut their items side by side. Ties in the order are taken by size; null sizes count 0, a null order is last.
     """
     size = F.coalesce(F.col(n_bytes).cast("long"), F.lit(0)).alias("size")
-    ranged = checkpointed(items.select(order, n_bytes, size).repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    ranged = checkpointed(items.select(order, n_bytes, size).repartitionByRange(F.col(order).asc_nulls_last()).withColumn("_p", F.spark_partition_id()))
     by = [(order, "ascending"), ("size", "ascending")]
 
     def steps(t: pa.Table) -> pa.Table:
-        return _range_steps(t.take(pc.sort_indices(t, by, null_placement="at_start")), budget)
+        return _range_steps(t.take(pc.sort_indices(t, by, null_placement="at_end")), budget)
 
     def follow(batches):
-        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True))
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True))
         held, batch, out = 0, 0, []
         for p, own in itertools.groupby(rows, key=lambda r: r[0]):
             own = list(own)
             out.append((p, held, batch))
             if held == 0:
-                cuts, held = own[0][2:4]
+                cuts, held = own[0][3:5]
             else:
-                fits = [r for r in own[1:] if held > r[1]]
-                cuts, held = max(fits, key=lambda r: r[1])[2:4] if fits else (0, held + own[0][4])
+                cuts, held = next((r[3:5] for r in own[1:] if held > r[2]), (0, held + own[0][5]))
             batch += cuts
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], ["_p", "held", "batch"])
 
     def cut(a: pa.Table, t: pa.Table) -> pa.Table:
-        t = t.take(pc.sort_indices(t, by, null_placement="at_start"))
+        t = t.take(pc.sort_indices(t, by, null_placement="at_end"))
         held, batch, out = a["held"][0].as_py(), a["batch"][0].as_py(), []
         for n in t["size"].to_pylist():
             if held and held + n > budget:
@@ -84,7 +89,7 @@ def memory_batches(items: DataFrame, order: str, n_bytes: str, budget: int) -> D
         return pa.table([t[order], t[n_bytes], pa.array(out, pa.int64())], [order, n_bytes, "batch"])
 
     kinds = dict(items.dtypes)
-    told = ranged.groupBy("_p").applyInArrow(steps, "_p int, over long, cuts long, held long, total long")
+    told = ranged.groupBy("_p").applyInArrow(steps, "_p int, at long, over long, cuts long, held long, total long")
     entries = told.coalesce(1).mapInArrow(follow, "_p int, held long, batch long")
     return entries.groupBy("_p").cogroup(ranged.groupBy("_p")).applyInArrow(cut, f"{order} {kinds[order]}, {n_bytes} {kinds[n_bytes]}, batch long")
 

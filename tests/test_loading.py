@@ -40,6 +40,24 @@ def test_batches_and_environments(spark):
     assert [(r["pct"], r["done"]) for r in L.progress_ticks(p, "total", 25).collect()] == [(25, 2), (50, 4), (75, 6), (100, 7)]
 
 
+def test_batches_run_on_from_range_to_range(spark):
+    rng = np.random.default_rng(3)
+    key, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")  # else such small ranges are one
+    try:
+        for sizes, budget in ((rng.choice([0, 1, 10, 30, 60, 120], 60), 50), (rng.integers(0, 40, 60), 100), (rng.choice([0, 5], 60), 7)):
+            held, no, want = 0, 0, []
+            for n in sizes.tolist():
+                if held and held + n > budget:
+                    held, no = 0, no + 1
+                held += n
+                want.append(no)
+            got = {r["i"]: r["batch"] for r in L.memory_batches(spark.createDataFrame([(k if k < 59 else None, b) for k, b in enumerate(sizes.tolist())], "i long, b long"), "i", "b", budget).collect()}
+            assert [got[k] for k in (*range(59), None)] == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def _groups(rows):
     by = {}
     for r in rows:
