@@ -63,8 +63,9 @@ def psnr_by_image(pixels: DataFrame, step: int) -> DataFrame:
 
 
 def to_bytes(v: Column) -> Column:
-    """8-bit values as an image file stores them: v * 255 + 0.5, cut to 0..255 and truncated."""
-    return F.floor(F.least(F.greatest(v * 255 + 0.5, F.lit(0.0)), F.lit(255.0))).cast("int")
+    """8-bit values as an image file stores them: v * 255 + 0.5 in the precision of v, cut to 0..255 and truncated."""
+    scaled = v * F.lit(255.0).cast("float") + F.lit(0.5).cast("float")
+    return F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0))).cast("int")
 
 
 def downsample2(plane: DataFrame) -> DataFrame:

@@ -166,6 +166,13 @@ def test_save_rounding(spark):
     assert [r[0] for r in df.select(P.to_bytes(F.col("v"))).collect()] == [0, 0, 128, 255]
 
 
+def test_save_rounds_in_the_precision_of_the_pixels(spark):
+    near = [float(x) for k in range(255) for x in (np.float32((k + 0.5) / 255), np.nextafter(np.float32((k + 0.5) / 255), np.float32(0)))]
+    df = spark.createDataFrame(list(enumerate(near)), "n int, v double").select("n", F.col("v").cast("float").alias("v"))
+    want = np.clip(np.array(near, np.float32) * 255 + 0.5, 0, 255).astype(np.uint8).tolist()
+    assert [r[0] for r in df.orderBy("n").select(P.to_bytes(F.col("v"))).collect()] == want
+
+
 def test_grid_query_searches_all_actions(spark, sf):
     from blockwright.plans import queries as Q
 
