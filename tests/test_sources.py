@@ -173,6 +173,14 @@ def test_save_rounds_in_the_precision_of_the_pixels(spark):
     assert [r[0] for r in df.orderBy("n").select(P.to_bytes(F.col("v"))).collect()] == want
 
 
+def test_container_roundtrip_broadcasts_no_pixels(spark, sf):
+    from blockwright.plans import queries as Q
+
+    df = Q.q_container_roundtrip(spark, sf)
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["n"], r["mse"] < 0.01) for r in df.collect()} == {(32 * 32 * 3, True)}
+
+
 def test_grid_query_searches_all_actions(spark, sf):
     from blockwright.plans import queries as Q
 
