@@ -92,16 +92,17 @@ def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, off)
 
 
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over bytes from which spans are hashed, for those who hash spans of the same bytes more than once."""
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
     return sums, inverse
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    sums, inverse = _prefix(data)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span. held: prefix(data)."""
+    sums, inverse = held or prefix(data)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
@@ -137,12 +138,12 @@ def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def byte_windows(data: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-byte strings by start, document borders not looked at."""
+def byte_windows(data: np.ndarray, k: int, held: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Hashes of all k-byte strings by start, document borders not looked at. held: prefix(data)."""
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    sums, inverse = _prefix(data)
+    sums, inverse = held or prefix(data)
     return mix((sums[k:] - sums[:n]) * inverse[:n])
 
 

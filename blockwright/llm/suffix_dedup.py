@@ -1,11 +1,12 @@
 """Exact substring deduplication on bytes with per-shard suffix arrays.
 
 A repeat of 50 bytes has the same least 24-byte k-mer (its anchor) wherever it is, so stretches whose
-anchors occur once in the whole corpus hold no repeat and are left alone. For the other stretches of a
-shard of documents a suffix array is built by Larsson-Sadakane refinement: suffixes are ordered by
-eight bytes, then only groups that are still equal are refined by the rank of the suffix one depth
-further on. Kasai's rule gives common prefixes, run in many lanes over consecutive positions;
-neighbours that share 50 bytes are one class, decided within the shard by its least document. What
+anchors occur once in the whole corpus hold no repeat and are left alone. For the stretches whose anchors
+occur more than once in a shard of documents a suffix array is built by Larsson-Sadakane refinement:
+suffixes are ordered by eight bytes, then only groups that are still equal are refined by the rank of the
+suffix one depth further on, until a group shares 50 bytes. Neighbours that share 50 bytes are one class,
+decided within the shard by its least document; stretches whose anchors recur in other shards alone can
+repeat there alone. What
 each shard keeps of a repeated anchor, one context per different surrounding, is cut by binary search
 at the borders of key ranges, and the ranges of all shards are merged: a window is looked up in the
 sorted windows of all shards for its least document. A shard sends a context once however many
@@ -42,18 +43,15 @@ MIXED_SQL = "kind int, " + SENT_SQL
 MIXED = pa.schema([("kind", pa.int32()), *SENT])
 
 
-def sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
-    """op over x[i : i + w] for each whole window."""
-    n = len(x) - w + 1
+def sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
+    """op, a minimum or maximum, over x[i : i + w] for each whole window, by windows of twice the width each time."""
+    n, span = len(x) - w + 1, 1
     if n <= 0:
         return x[:0]
-    size = -(-len(x) // w) * w
-    padded = np.full(size, fill, x.dtype)
-    padded[: len(x)] = x
-    blocks = padded.reshape(-1, w)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[:n], ahead[w - 1 : w - 1 + n])
+    while 2 * span <= w:
+        x = op(x[:-span], x[span:])
+        span *= 2
+    return op(x[:n], x[w - span : w - span + n])
 
 
 def big_endian_words(t: np.ndarray) -> np.ndarray:
@@ -65,8 +63,8 @@ def big_endian_words(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(t: np.ndarray, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank of each suffix) of bytes, refined until all suffixes differ."""
+def suffix_array(t: np.ndarray, words: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, rank of each suffix) of bytes, refined until all suffixes differ or, if given, groups share `most` bytes."""
     n = len(t)
     words = big_endian_words(t) if words is None else words
     sa = np.argsort(words).astype(np.int64)
@@ -77,7 +75,7 @@ def suffix_array(t: np.ndarray, words: np.ndarray | None = None) -> tuple[np.nda
     depth = 8
     open_ = ~head | ~np.append(head[1:], True)
     at = np.flatnonzero(open_)
-    while len(at):
+    while len(at) and (most is None or depth < most):
         own = sa[at]
         further = own + depth
         # a suffix that ends within the depth is shorter than what it is equal to so far, and comes first
@@ -130,6 +128,16 @@ def kasai(t: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int, words: np.
     return out
 
 
+def alike(words: np.ndarray, sa: np.ndarray, size: int) -> np.ndarray:
+    """Which suffixes share `size` bytes, 8 at least, with the one before them in order."""
+    out = np.zeros(len(sa), bool)
+    at = np.flatnonzero(np.maximum(sa[1:], sa[:-1]) + size <= len(sa)) + 1
+    for o in (*range(0, size - 8, 8), size - 8):
+        at = at[words[sa[at] + o] == words[sa[at - 1] + o]]
+    out[at] = True
+    return out
+
+
 class _Shard:
     """The bytes of a shard and its anchors."""
 
@@ -141,13 +149,14 @@ class _Shard:
         n = len(self.data)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.off))
         self.valid = self.doc[: max(0, n - size + 1)] == self.doc[size - 1 :] if n >= size else np.zeros(0, bool)
-        self.mers = R.byte_windows(self.data, k) | U(1)
+        self.prefix = R.prefix(self.data)
+        self.mers = R.byte_windows(self.data, k, self.prefix) | U(1)
         if not len(self.valid):
             self.least, self.at = np.zeros(0, U), np.zeros(0, np.int64)
         else:
-            self.least = np.where(self.valid, sliding(self.mers, self.w, np.minimum, int(TOP)), U(0))
+            self.least = np.where(self.valid, sliding(self.mers, self.w, np.minimum), U(0))
             around = np.concatenate([np.zeros(self.w - 1, U), self.least, np.zeros(self.w - 1, U)])
-            self.at = np.flatnonzero(sliding(around, self.w, np.maximum, 0)[: len(self.mers)] == self.mers)
+            self.at = np.flatnonzero(sliding(around, self.w, np.maximum)[: len(self.mers)] == self.mers)
         self.keys, self.inverse, self.counts = np.unique(R.mix(self.mers[self.at]), return_inverse=True, return_counts=True)
 
     def suspicious(self, shared: np.ndarray) -> np.ndarray:
@@ -155,10 +164,10 @@ class _Shard:
         seen = np.full(len(self.mers), TOP)
         own = self.at[shared[self.inverse]]
         seen[own] = self.mers[own]
-        return self.valid & (sliding(seen, self.w, np.minimum, int(TOP)) == self.least)
+        return self.valid & (sliding(seen, self.w, np.minimum) == self.least)
 
     def repeated(self, windows: np.ndarray) -> np.ndarray:
-        """Which of the windows have a smaller document in this shard, by suffix array and common prefixes."""
+        """Which of the windows have a smaller document in this shard, by suffix array and equal neighbours."""
         gone = np.zeros(len(self.data), bool)
         take = R.cover(windows, self.size, len(self.data))
         places = np.flatnonzero(take)
@@ -166,9 +175,8 @@ class _Shard:
             return gone
         text = self.data[places]
         words = big_endian_words(text)
-        sa, rank = suffix_array(text, words)
-        common = kasai(text, sa, rank, self.size, words)
-        group = np.cumsum(common < self.size) - 1
+        sa, _ = suffix_array(text, words, self.size)
+        group = np.cumsum(~alike(words, sa, self.size)) - 1
         at = places[sa]
         own = np.flatnonzero(windows[np.minimum(at, len(windows) - 1)] & (at < len(windows)))
         at, group, docs = at[own], group[own], self.ids[self.doc[at[own]]]
@@ -190,7 +198,7 @@ class _Shard:
             x = at - o
             inside = (x >= 0) & (x < len(self.least))
             mask |= (inside & (self.least[np.clip(x, 0, max(0, len(self.least) - 1))] == key)).astype(np.uint32) << np.uint32(o) if len(self.least) else np.uint32(0)
-        name = R.span_hashes(self.data, begin, end) + (at - begin).astype(U)
+        name = R.span_hashes(self.data, begin, end, self.prefix) + (at - begin).astype(U)
         # by key, then by surrounding: equal contexts are neighbours
         order = np.argsort(name)
         order = order[np.argsort(dealt[order], kind="stable")]
@@ -209,7 +217,7 @@ class _Shard:
     def hot_windows(self, hot: np.ndarray):
         """The different windows of hot anchors: two hashes, least documents, and the places of each."""
         at = np.flatnonzero(self.suspicious(hot)) if hot.any() else np.zeros(0, np.int64)
-        h1, h2 = R.span_hashes(self.data, at, at + self.size), R.mix(self.least[at]) >> U(32)
+        h1, h2 = R.span_hashes(self.data, at, at + self.size, self.prefix), R.mix(self.least[at]) >> U(32)
         order = np.argsort(h1)
         if (h2[order][1:] != h2[order][:-1])[h1[order][1:] == h1[order][:-1]].any():
             order = np.lexsort((h2, h1))
@@ -274,7 +282,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         s, no = _Shard(t, size, k), t["batch"][0].as_py()
         keys, which = short(s.keys)
         across, many = (f[which] for f in _two_flags(a, len(keys)))
-        gone = s.repeated(s.suspicious(across | (s.counts > 1))) if len(s.valid) else np.zeros(len(s.data), bool)
+        gone = s.repeated(s.suspicious(s.counts > 1)) if len(s.valid) else np.zeros(len(s.data), bool)
         key, held, mask, least, places, counts = s.contexts(across & ~many)
         h1, h2, its_least, its_places, its_counts = s.hot_windows(many)
         low = min((int(x.min()) for x in (least, its_least) if len(x)), default=0)

@@ -16,7 +16,7 @@ from blockwright.llm import rolling as R
 from blockwright.llm.line_dedup import line_dedup
 from blockwright.llm.near_dedup import near_dedup
 from blockwright.llm.substring_dedup import substring_dedup
-from blockwright.llm.suffix_dedup import kasai, suffix_array, suffix_dedup
+from blockwright.llm.suffix_dedup import alike, big_endian_words, kasai, suffix_array, suffix_dedup
 
 
 def by_text(rows):
@@ -80,6 +80,23 @@ def test_suffix_array_and_common_prefixes(data, lanes):
         assert common[k] == n
 
 
+@pytest.mark.parametrize("size", [8, 13, 50])
+def test_a_suffix_array_of_bounded_depth_has_equal_windows_side_by_side(size):
+    rng = np.random.default_rng(size)
+    part = rng.integers(97, 100, 70, np.uint8)
+    t = np.concatenate([rng.integers(97, 99, 300, np.uint8), part, rng.integers(97, 99, 40, np.uint8), part, part[:55], part])
+    words = big_endian_words(t)
+    sa, _ = suffix_array(t, words, size)
+    assert sorted(sa.tolist()) == list(range(len(t)))
+    group = np.cumsum(~alike(words, sa, size))
+    got, want = {}, {}
+    for g, a in zip(group.tolist(), sa.tolist(), strict=True):
+        if a + size <= len(t):
+            got.setdefault(g, set()).add(a)
+            want.setdefault(t[a : a + size].tobytes(), set()).add(a)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) < len(t) - size
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.text("ab \t\né", max_size=12), max_size=6))
 def test_words_of_a_batch(texts):
