@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import rolling as R
-from .storage import arrow_schema, from_ipc, materialise, releasing, stage, with_text
+from .storage import arrow_schema, from_ipc, in_order, materialise, releasing, stage, with_text
 from .substring_dedup import LAST, SENT_SQL, SENT, _answer, _gathered
 
 U = np.uint64
@@ -184,7 +184,9 @@ def _summary(t: pa.Table) -> bytes:
     line_of = np.empty_like(rank)
     line_of[rank] = np.arange(len(rank))
     first = line_of[np.minimum.reduceat(rank[at], np.flatnonzero(new))] if len(at) else at
-    slots, counts = np.unique((lines.words >> U(64 - SLOTS)).astype(np.uint32), return_counts=True)
+    counts = np.bincount(_slots(lines.words), minlength=1 << SLOTS)
+    slots = np.flatnonzero(counts)
+    counts = counts[slots]
     return X.pack(X.differences(c1[first]), c2[first].astype(np.uint32), first.astype(np.uint32), size[first].astype(np.uint32), of, per_doc.astype(np.uint32), X.differences(slots.astype(U)).astype(np.uint32), counts.astype(np.uint32))
 
 
@@ -315,7 +317,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 *_, deltas, counts = X.unpack(extra)
                 total[np.cumsum(deltas, dtype=np.int64)] += counts
         width = (1 << SLOTS) // SLOT_RANGES
-        held = [(r, X.pack(total.astype(np.uint32)[r * width : (r + 1) * width])) for r in range(SLOT_RANGES)] if total.any() else []
+        short = total.astype(np.uint32)
+        held = [(r, X.pack(short[r * width : (r + 1) * width])) for r in range(SLOT_RANGES)] if total.any() else []
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in held], pa.int32()), pa.array([p for _, p in held], pa.binary())], ["range", "payload"])
 
     def summed(t: pa.Table) -> pa.Table:
@@ -332,7 +335,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast(levels)
 
     def send_classes(t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
+        t = in_order(t)
         c = _Classes(t)
         low, no = c.doc.min() if len(c.doc) else 0, t["batch"][0].as_py()
         return X.rows(SENT, [(no, s, X.pack(X.differences(c.k1[r]), c.k2[r], (c.doc[c.first[r]] - low).astype(U), c.number[c.first[r]].astype(np.uint32), np.array([low], np.int64))) for s, r in X.by_shard(X.shard_of(c.k1, 64, n))])
@@ -354,7 +357,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def postings(a: pa.Table, t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return SENT.empty_table()
-        t = t.sort_by("seq")
+        t = in_order(t)
         c = _Classes(t)
         doc, number, chosen = c.doc, c.number, np.zeros(len(c.doc), bool)
         chosen[c.first[_gathered(a, len(c.first))]] = True
@@ -363,23 +366,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         line, word = _by_rarity(lines.line, lines.words, shared.value, len(lines.begin))
         starts = np.flatnonzero(np.diff(line, prepend=-1))
         own = np.diff(np.append(starts, len(line)))
-        size, position = np.repeat(own, own), np.arange(len(line)) - np.repeat(starts, own)
-        bit = (R.mix(word) >> U(57)).astype(np.int64)
-        sketch = []
-        for half in range(2):
-            flips = np.where(bit // 64 == half, U(1) << (bit % 64).astype(U), U(0))
-            sketch.append(np.repeat(np.bitwise_xor.reduceat(flips, starts), own) if len(starts) else flips)
-        prefix = position < size - -(-(up * size) // down) + 1
+        prefix = own - -(-(up * own) // down) + 1
         # sets of up to four words match equal sets alone, at 0.8; those are classes already
-        lone = _need(size, size + 1, up, down) > size
-        use = np.flatnonzero(prefix & ~(lone & (size * up > (size - 1) * down)))
-        use = use[np.argsort(word[use])]
+        prefix[(_need(own, own + 1, up, down) > own) & (own * up > (own - 1) * down)] = 0
+        bit = R.mix(word) >> U(57)
+        flips, upper = U(1) << (bit & U(63)), bit >= U(64)
+        sketch = [np.bitwise_xor.reduceat(np.where(upper == half, flips, U(0)), starts) if len(starts) else flips for half in (False, True)]
+        of, use = np.repeat(np.arange(len(own)), prefix), R.spans(starts, prefix)
+        order = np.argsort(word[use])
+        of, use = of[order], use[order]
         low, no = doc.min() if len(doc) else 0, t["batch"][0].as_py()
-        out = []
-        for s, r in X.by_shard(X.shard_of(word[use], 64, n)):
-            u = use[r]
-            out.append((no, s, X.pack(X.differences(word[u] >> U(16)), line[u].astype(np.uint32), size[u].astype(np.uint32), position[u].astype(np.uint32), sketch[0][u], sketch[1][u], (doc[line[u]] - low).astype(U), number[line[u]].astype(np.uint32), np.array([low], np.int64))))
-        return X.rows(SENT, out)
+        at, key, base = line[use], word[use], np.array([low], np.int64)
+        held = [at.astype(np.uint32), own[of].astype(np.uint32), (use - starts[of]).astype(np.uint32), sketch[0][of], sketch[1][of], (doc[at] - low).astype(U), number[at].astype(np.uint32)]
+        cut = key >> U(16)
+        return X.rows(SENT, [(no, s, X.pack(X.differences(cut[r]), *[v[r] for v in held], base)) for s, r in X.by_shard(X.shard_of(key, 64, n))])
 
     def pair(t: pa.Table) -> pa.Table:
         parts = [X.unpack(p) for p in t["payload"].to_pylist()]
@@ -400,7 +400,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not a.num_rows or not t.num_rows:
             return LINE.empty_table()
         own = a["line"].to_numpy()
-        return pa.Table.from_arrays([pa.array(a["batch"].to_numpy()), pa.array(own.astype(np.int32)), Lines(t.sort_by("seq")).texts(own)], schema=LINE)
+        return pa.Table.from_arrays([pa.array(a["batch"].to_numpy()), pa.array(own.astype(np.int32)), Lines(in_order(t)).texts(own)], schema=LINE)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         return materialise(wanted.groupBy("batch").cogroup(table.select("batch", "seq", "doc_id", "text").groupBy("batch")).applyInArrow(releasing(fetch), LINE_SQL), "lines")
@@ -414,8 +414,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ok.append(down * both >= up * (len(p) + len(q) - both))
             yield b.select(mine).filter(pa.array(ok, pa.bool_()))
 
-    best = pairs.groupBy(*mine).agg(F.min_by(F.struct(*its), F.struct("distance", *its)).alias("y")).select(*mine, "y.*")
-    ends = pairs.select(F.col("x_batch").alias("batch"), F.col("x_line").alias("line")).unionAll(pairs.select(F.col("y_batch"), F.col("y_line"))).distinct()
+    best = materialise(pairs.groupBy(*mine).agg(F.min(F.struct("distance", *its)).alias("y"), F.max("more").alias("more")).select(*mine, *[f"y.{c}" for c in its], "more"), "best")
+    ends = best.select(F.col("x_batch").alias("batch"), F.col("x_line").alias("line")).unionAll(pairs.select(F.col("y_batch"), F.col("y_line"))).distinct()
     texts = texts_of(ends)
 
     def similar(candidates: DataFrame) -> DataFrame:
@@ -423,12 +423,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return candidates.join(y.hint("merge"), its).join(x.hint("merge"), mine).select(*mine, "x_text", "y_text").mapInArrow(verify, "x_batch long, x_line int").distinct()
 
     near = materialise(similar(best), "similar")
-    rest = pairs.join(near.hint("merge"), mine, "left_anti").join(best.hint("merge"), [*mine, *its], "left_anti")
+    rest = pairs.join(near.hint("merge"), mine, "left_anti").join(best.drop("more").hint("merge"), [*mine, *its], "left_anti")
     again = materialise(similar(rest.select(*mine, *its).distinct()), "similar")
     gone = near.unionAll(again)
-    open_ = materialise(pairs.filter("more").select(*mine).distinct().join(gone.hint("merge"), mine, "left_anti"), "open")
+    open_ = materialise(best.filter("more").select(*mine).join(gone.hint("merge"), mine, "left_anti"), "open")
     queries = open_.join(texts.select(F.col("batch").alias("x_batch"), F.col("line").alias("x_line"), F.col("text")).hint("merge"), mine)
-    found = _against_all(table, queries, up, down, block_words)
+    found = _against_all(table, queries, levels, up, down, block_words)
     if found is not None:
         gone = gone.unionAll(found)
 
@@ -438,7 +438,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def remove(a: pa.Table, t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return schema.empty_table()
-        t = t.sort_by("seq")
+        t = in_order(t)
         c = _Classes(t)
         first, of, doc, number = c.first, c.of, c.doc, c.number
         kind = np.asarray(a["kind"])
@@ -488,11 +488,12 @@ def _word_sets(col) -> list[np.ndarray]:
     return [np.unique(values[a:b]) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
 
 
-def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block_words: int) -> DataFrame | None:
+def _against_all(table: DataFrame, queries: DataFrame, levels: np.ndarray, up: int, down: int, block_words: int) -> DataFrame | None:
     """Of the query lines (x_batch, x_line, text) those with an earlier similar line, by looking at the classes of all batches.
 
     Queries are met in blocks of about `block_words` words, so what a block broadcasts is bounded whatever
-    the lines' lengths; a batch looks into the lines of fitting sizes alone.
+    the lines' lengths; a batch looks into the lines of fitting sizes that hold one of the rarest words of a
+    query alone: a similar line shares up/down of a query's words, so one at least of so many rarest ones.
     """
     spark, out = table.sparkSession, None
 
@@ -500,28 +501,40 @@ def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block
         word = np.concatenate(sets)
         order = np.argsort(word)
         sizes = np.array([len(s) for s in sets])
-        shared = spark.sparkContext.broadcast((names, sizes, word[order], np.repeat(np.arange(len(sets)), sizes)[order]))
+        known = np.zeros(1 << SLOTS, bool)
+        for s in sets:
+            known[_slots(s[np.argsort(levels[_slots(s)], kind="stable")[: len(s) - -(-(up * len(s)) // down) + 1]])] = True
+        shared = spark.sparkContext.broadcast((names, sizes, word[order], np.repeat(np.arange(len(sets)), sizes)[order], known))
 
         def scan(t: pa.Table) -> pa.Table:
-            names, sizes, word, owner = shared.value
-            t = t.sort_by("seq")
+            names, sizes, word, owner, known = shared.value
+            t = in_order(t)
             c = _Classes(t)
             fits = np.unique(sizes)
             # the least query size from which a line's size is not too large, and whether it is not too small for it
             at = np.searchsorted(fits, -(-c.size * up // down))
             ok = (at < len(fits)) & (fits[np.minimum(at, len(fits) - 1)] * up <= c.size * down)
-            some = c.first[ok]
-            if not len(some):
+            if not ok.any():
                 return FOUND.empty_table()
-            held = _word_sets(Lines(t).texts(some))
-            size = np.array([len(s) for s in held])
-            values, line = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+            lines = Lines(t)
+            size = np.zeros(len(lines.begin), np.int64)
+            size[c.first[ok]] = c.size[ok]
+            lines.split(size > 0)
+            near = np.zeros(len(size), bool)
+            near[lines.line[known[_slots(lines.words)]]] = True
+            near = near[lines.line]
+            values, line = lines.words[near], lines.line[near]
+            order = np.lexsort((values, line))
+            values, line = values[order], line[order]
+            new = np.ones(len(line), bool)
+            new[1:] = (line[1:] != line[:-1]) | (values[1:] != values[:-1])
+            values, line = values[new], line[new]
             lo, hi = np.searchsorted(word, values, side="left"), np.searchsorted(word, values, side="right")
             q = owner[R.spans(lo, hi - lo)]
             pair, overlap = np.unique(np.repeat(line, hi - lo) * len(sizes) + q, return_counts=True)
             line, q = pair // len(sizes), pair % len(sizes)
             ok = down * overlap >= up * (size[line] + sizes[q] - overlap)
-            at, q = some[line[ok]], q[ok]
+            at, q = line[ok], q[ok]
             return pa.Table.from_arrays([pa.array([names[k][0] for k in q], pa.int64()), pa.array([names[k][1] for k in q], pa.int32()), pa.array(c.doc[at]), pa.array(c.number[at].astype(np.int32))], schema=FOUND)
 
         hits = table.groupBy("batch").applyInArrow(releasing(scan), "x_batch long, x_line int, doc_id long, number int").groupBy("x_batch", "x_line").agg(F.min(F.struct("doc_id", "number")).alias("least"))
@@ -548,7 +561,7 @@ def _against_all(table: DataFrame, queries: DataFrame, up: int, down: int, block
     def places(a: pa.Table, t: pa.Table) -> pa.Table:
         if not a.num_rows:
             return pa.table({"x_batch": pa.array([], pa.int64()), "x_line": pa.array([], pa.int32())})
-        c = _Classes(t.sort_by("seq"))
+        c = _Classes(in_order(t))
         own = a["x_line"].to_numpy()
         least = a["least"].to_pylist()
         ok = [(m["doc_id"], m["number"]) < (int(c.doc[x]), int(c.number[x])) for x, m in zip(own, least, strict=True)]

@@ -15,6 +15,7 @@ from blockwright.llm import near_dedup as ND
 from blockwright.llm import rolling as R
 from blockwright.llm.line_dedup import line_dedup
 from blockwright.llm.near_dedup import near_dedup
+from blockwright.llm.storage import in_order, own_memory, stage
 from blockwright.llm.substring_dedup import substring_dedup
 from blockwright.llm.suffix_dedup import alike, big_endian_words, kasai, suffix_array, suffix_dedup
 
@@ -164,6 +165,24 @@ def test_classes_are_the_same_with_and_without_wide_keys():
     assert size.tolist() == [1, 2, 0, 6, 6, 6, 2, 0, 0, 2, 1] and len(set(c1[size > 0].tolist())) == 6
 
 
+def test_queries_meet_all_batches_by_their_rarest_words(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(40)]
+    rows = [(d, " ".join(base[k] for k in np.sort(rng.choice(40, 36 + d % 5, replace=False))) + f"\nown{d} line{d}") for d in range(24)]
+    staged = stage(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text", 600, LD._summary)
+    first = staged.table.groupBy("batch").agg({"seq": "count"}).orderBy("batch").collect()
+    assert len(first) > 3
+    by = {r["doc_id"]: (r["batch"], r["seq"]) for r in staged.table.collect()}
+    wanted = [(by[d][0], 2 * (by[d][1] - min(s for b, s in by.values() if b == by[d][0])), rows[d][1].split("\n")[0]) for d in range(24)]
+    _, gone = lines_by_hand(rows)
+    levels = np.random.default_rng(6).integers(0, 255, 1 << 20).astype(np.uint8)
+    for block_words in (50, 10_000):
+        found = LD._against_all(staged.table, spark.createDataFrame(wanted, "x_batch long, x_line int, text string"), levels, 80, 100, block_words)
+        got = {(r["x_batch"], r["x_line"]) for r in found.collect()}
+        assert got == {wanted[n][:2] for n, k in gone if k == 0} and 0 < len(got) < 24
+    assert own_memory() > 0 and in_order(pa.table({"seq": [2, 0, 1]}))["seq"].to_pylist() == [0, 1, 2]
+
+
 def test_a_document_of_millions_of_lines_meets_the_others(spark):
     rows = [(1, "p q r"), (2, "p q r"), (3, "p q r" + "\n" * (1 << 22) + "p q r s t u")]
     got = {r["doc_id"]: (r["n_removed"], r["n_lines"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "n_lines").collect()}
