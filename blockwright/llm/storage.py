@@ -27,6 +27,9 @@ from . import rolling
 #: Used only where the session names no checkpoint folder, as in tests.
 DEFAULT_WORK = "/tmp/checkpoints/blockwright"
 _TABLES: list[str] = []
+#: Options of staged files on a local disk: no checksum file beside each. Hadoop's local file system begins a chmod for every
+#: file it makes, and until that has started, it shares the executor's memory and is counted as holding all of it once more.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -181,7 +184,7 @@ def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     seen = Observation()
     rows = clean(docs, id_col, text_col, carry).observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).mapInArrow(cut, schema)
     n, name = shuffle_partitions(spark), f"bw_stage_{uuid.uuid4().hex}"
-    rows.write.format("parquet").option("compression", "zstd").bucketBy(n, "batch").sortBy("batch").saveAsTable(name)
+    rows.write.format("parquet").options(**PLAIN_FILES).option("compression", "zstd").bucketBy(n, "batch").sortBy("batch").saveAsTable(name)
     _TABLES.append(name)
     n_bytes = int(seen.get["n"])
     return Staged(spark.table(name), n_bytes, max(3 * n, math.ceil(n_bytes / (256 << 20))), name)

@@ -1,5 +1,6 @@
 import os
 import sys
+from urllib.parse import unquote, urlparse
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -24,6 +25,21 @@ def by_text(rows):
     return sorted(rows, key=repr)
 
 
+def checksum_files(df):
+    """Names of such files in the folders of df's files; each costs its writer a process more."""
+    folders = {os.path.dirname(unquote(urlparse(f).path)) for f in df.inputFiles()}
+    assert folders and all(map(os.path.isdir, folders))
+    return [f for d in folders for f in os.listdir(d) if f.endswith(".crc")]
+
+
+def test_staged_batches_have_no_checksum_files(spark):
+    rows = [(d, f"text {d}") for d in range(200)]
+    staged = stage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batch_bytes=100)
+    assert checksum_files(staged.table) == [] and len(staged.table.inputFiles()) > 3
+    assert sorted(map(tuple, staged.table.select("doc_id", "text").collect())) == rows
+    assert staged.n_bytes == sum(len(t) for _, t in rows)
+
+
 def test_substring_dedup_on_a_hostile_table(spark):
     rows = [(r[0], r[1]) for r in hostile()]
     units = [words(t) for _, t in rows]
