@@ -42,7 +42,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df once to the shared folder and return the reader of those files."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**PLAIN_FILES).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from blockwright.llm import near_dedup as ND
 from blockwright.llm import rolling as R
 from blockwright.llm.line_dedup import line_dedup
 from blockwright.llm.near_dedup import near_dedup
-from blockwright.llm.storage import in_order, own_memory, stage
+from blockwright.llm.storage import in_order, materialise, own_memory, stage
 from blockwright.llm.substring_dedup import substring_dedup
 from blockwright.llm.suffix_dedup import alike, big_endian_words, kasai, suffix_array, suffix_dedup
 
@@ -40,6 +40,14 @@ def test_staged_batches_have_no_checksum_files(spark):
     assert staged.n_bytes == sum(len(t) for _, t in rows)
 
 
+def test_materialised_tables_have_no_checksum_files(spark):
+    df = spark.range(1000).selectExpr("id", "cast(id AS string) AS s").repartition(4, "id")
+    for codec in ("zstd", "uncompressed"):
+        got = materialise(df, "sidecars", codec)
+        assert checksum_files(got) == [] and len(got.inputFiles()) == 4
+        assert got.dtypes == df.dtypes and sorted(map(tuple, got.collect())) == [(k, str(k)) for k in range(1000)]
+
+
 def test_substring_dedup_on_a_hostile_table(spark):
     rows = [(r[0], r[1]) for r in hostile()]
     units = [words(t) for _, t in rows]
